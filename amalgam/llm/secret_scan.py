@@ -193,6 +193,14 @@ def discovery_levels(found: DataFrame) -> dict[int, int]:
     return out
 
 
+def _as_kind(order: int):
+    return lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), m["end"].alias("end"))
+
+
+def _is_kind(order: int):
+    return lambda s: s["order"] == order
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and all spans of each row: array of (start, order, end), order being the index into ``KINDS``; by start, then
     kind."""
@@ -200,7 +208,7 @@ def scan(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
     kinds = []
     for i, (name, pattern, group, least) in enumerate(PATTERNS):
-        hits = F.transform(matches(text, pattern, group, least), lambda m, i=i: F.struct(m["start"].alias("start"), F.lit(i).alias("order"), m["end"].alias("end")))
+        hits = F.transform(matches(text, pattern, group, least), _as_kind(i))
         kinds.append(F.when(text.rlike(HINTS[name]), hits).otherwise(F.array().cast(span)))
     found = materialize(docs.select("doc_id", F.concat(*kinds).alias("base"), candidates(text).alias("cands")), "spans")
     levels = discovery_levels(found)
@@ -209,7 +217,7 @@ def scan(docs: DataFrame) -> DataFrame:
         reported = F.filter(
             "cands", lambda c: (c["level"] >= F.coalesce(least[c["stratum"]], F.lit(CLASSES + 1))) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
         )
-        added = F.transform(reported, lambda c: F.struct(c["start"].alias("start"), F.lit(len(PATTERNS)).alias("order"), c["end"].alias("end")))
+        added = F.transform(reported, _as_kind(len(PATTERNS)))
     else:
         added = F.array().cast(span)
     return found.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans"))
@@ -220,5 +228,5 @@ def digest(scanned: DataFrame) -> DataFrame:
     names = F.array(*map(F.lit, KINDS))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["order"]], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["order"] < len(PATTERNS))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["order"] == i)).cast("long").alias(f"n_{name}") for i, (name, *_) in enumerate(PATTERNS)]
+    counts = [F.size(F.filter("spans", _is_kind(i))).cast("long").alias(f"n_{name}") for i, (name, *_) in enumerate(PATTERNS)]
     return scanned.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
