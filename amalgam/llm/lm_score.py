@@ -4,11 +4,15 @@ Tokens are the words (A-Z lower-cased, runs without white space) and one end tok
 ``crc32(doc_id as text) mod 7`` other than 2 are learned from.
 
 Unigrams and bigrams of all of them are counted. A count c is quantised to the level 1 + floor(log2 c), and the n-gram
-enters the filter once for each level up to its own; a probe asks for level 1, 2, ... until one is missing, and the last
-one present gives the estimate, the middle of the counts of that level. The probability of a word is that of a bigram
-with Dirichlet smoothing towards the add-one unigram, each count estimated by such probes:
+enters the filter once for each level up to its own; a probe asks for level 1, 2, ... until one is missing, and the
+last one present gives the estimate, the middle of the counts of that level. Estimates give the probabilities:
 
-    p(w | v) = (n(v w) + MASS p(w)) / (n(v) + MASS)        p(w) = (n(w) + 1) / (N' + V + 1)
+    p(w | v) = k(v) n(v w) / n(v) + (1 - k(v)) p(w)
+    p(w) = (n(w) - D) / N'      of a known word        p(unknown) = D V / N'
+
+Like the base, the model has one class for all unknown words; it gets what absolute discounting takes from the known
+ones (D from how many tokens occur once and twice). The weight k(v) of the bigram depends on the level of n(v) and is
+fitted by expectation-maximisation over all training tokens, each left out of its own counts.
 
 The filter has at most ``MAX_BITS`` bits, so the broadcast is bounded. Of more events than ``MAX_BITS / BITS_PER_EVENT``
 those of the rarest bigrams are left out, by level, the usual count cut-off of a language model; below that size the
@@ -36,8 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-MASS, FREQUENT = 20.0, 1 << 19
+FREQUENT = 1 << 19
 MAX_BITS, BITS_PER_EVENT, PROBES, LEVELS = 1 << 29, 10, 4, 48
+#: Classes of the ratio of the two probabilities that the weights are fitted on, 4 to a doubling around 1; the first: 0.
+RATIOS = 256
 #: Tokens that are counted together before they leave a task.
 CHUNK = 1 << 21
 #: Words have no white space, so these can't be words.
@@ -90,18 +96,19 @@ def _segment(g: np.ndarray, n: int) -> np.ndarray:
     return (g >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)
 
 
-def _bits(g: np.ndarray, level: int, size: int):
-    """The bits of one segment that stand for an n-gram at a level."""
-    h = _mix(g + np.uint64(level) * _M1)
-    step = _mix(h ^ _M3) | np.uint64(1)
-    for j in range(PROBES):
-        yield (h + np.uint64(j) * step) % np.uint64(size)
+def _bit(g: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
+    """One of the bits of its segment that stand for an n-gram at a level."""
+    h = _mix(g + np.uint64((level * PROBES + probe) * int(_M1) % (1 << 64)))
+    return (h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
 
 
 class Filter:
-    def __init__(self, words: np.ndarray, segments: int, size: int, total: float, vocabulary: int, starts: int):
+    """The filter and the numbers that turn its levels into probabilities."""
+
+    def __init__(self, words: np.ndarray, segments: int, size: int, total: float, vocabulary: int, discount: float, starts: int):
         self.words, self.segments, self.size = words, segments, size
-        self.total, self.vocabulary, self.starts = total, vocabulary, starts
+        self.total, self.vocabulary, self.discount, self.starts = total, vocabulary, discount, starts
+        self.weights = np.zeros(LEVELS + 1)
 
     def levels(self, g: np.ndarray) -> np.ndarray:
         """The level of each n-gram by repeated membership probes."""
@@ -109,30 +116,56 @@ class Filter:
         alive = np.arange(len(g)) if self.size else np.zeros(0, np.int64)
         base = _segment(g, self.segments) * np.uint64(self.size)
         for level in range(1, LEVELS + 1):
+            for probe in range(PROBES):  # most n-grams leave at the first one
+                at = base[alive] + _bit(g[alive], level, probe, self.size)
+                alive = alive[(self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0]
             if not len(alive):
                 break
-            kept = np.ones(len(alive), bool)
-            for bit in _bits(g[alive], level, self.size):
-                at = base[alive] + bit
-                kept &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
-            alive = alive[kept]
             out[alive] = level
         return out
 
-    def log10(self, x: np.ndarray) -> np.ndarray:
-        """Log probability of each token of a concatenation of documents."""
-        v, g = _before(x), bigrams(x)
+    def estimates(self, x: np.ndarray):
+        """For each token of a concatenation of documents: n(w), level of n(v), n(v), n(v w)."""
         word, at = np.unique(x, return_inverse=True)
-        count = estimate(self.levels(_mix(word)))[at]
-        pair, of = np.unique(g, return_inverse=True)
+        level = self.levels(_mix(word))[at]
+        pair, of = np.unique(bigrams(x), return_inverse=True)
         both = estimate(self.levels(pair))[of]
-        start = v == START
-        prior = np.empty(len(x))
-        prior[1:] = count[:-1]
-        prior[start] = self.starts
-        both = np.minimum(both, np.maximum(prior, 0))
-        unigram = (count + 1) / (self.total + self.vocabulary + 1)
-        return np.log10((both + MASS * unigram) / (prior + MASS))
+        count = estimate(level)
+        start = _before(x) == START
+        prior_level, prior = np.empty_like(level), np.empty(len(x))
+        prior_level[1:], prior[1:] = level[:-1], count[:-1]
+        prior_level[start], prior[start] = level_of(np.array([self.starts]))[0], self.starts
+        return count, prior_level, prior, np.minimum(both, prior)
+
+    def unigram(self, count: np.ndarray) -> np.ndarray:
+        if not self.total:
+            return np.ones(len(count))
+        return np.where(count > 0, count - self.discount, self.discount * self.vocabulary) / self.total
+
+    def log10(self, x: np.ndarray) -> np.ndarray:
+        """Log probability of each token of a concatenation of documents."""
+        count, level, prior, both = self.estimates(x)
+        k = self.weights[level]
+        return np.log10(k * both / np.maximum(prior, 1) + (1 - k) * self.unigram(count))
+
+    def ratios(self, x: np.ndarray) -> np.ndarray:
+        """How many training tokens have a level of n(v) and class of ratio, each left out of its own counts."""
+        count, level, prior, both = self.estimates(x)
+        own = np.maximum(both - 1, 0) / np.maximum(prior - 1, 1)
+        with np.errstate(divide="ignore"):
+            ratio = np.log2(own / self.unigram(count))
+        cls = np.where(own > 0, np.clip(np.round(4 * ratio), -RATIOS // 2 + 1, RATIOS // 2 - 1), -RATIOS // 2) + RATIOS // 2
+        return np.bincount(level.astype(np.int64) * RATIOS + cls.astype(np.int64), minlength=(LEVELS + 1) * RATIOS)
+
+    def fit(self, n: np.ndarray) -> None:
+        """The weights from the counts of ``ratios``, by level."""
+        ratio = np.exp2((np.arange(RATIOS) - RATIOS // 2) / 4)
+        ratio[0] = 0
+        for level, of in enumerate(n.reshape(LEVELS + 1, RATIOS)):
+            k = 0.5 * (of.sum() > 0)
+            for _ in range(200):
+                k = float(of @ (k * ratio / (k * ratio + 1 - k))) / max(of.sum(), 1)
+            self.weights[level] = min(k, 0.999)
 
 
 def _counted(segments: int):
@@ -170,7 +203,7 @@ def _counted(segments: int):
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """One segment's bigrams with their levels, rarest levels' sizes beside them; rows of at most a million."""
+    """One segment's bigrams with their levels, and how many of each level; rows of at most a million."""
     keys = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()])
     counts = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("counts").to_pylist()])
     order = np.argsort(keys, kind="stable")
@@ -192,11 +225,12 @@ def _filled(size: int, least: int):
 
     def fill(table: pa.Table) -> pa.Table:
         words = np.zeros(size // 64, np.uint64)
-        for keys, levels in zip(table.column("keys").to_pylist(), table.column("levels").to_pylist()):
+        for keys, levels, every in zip(*(table.column(c).to_pylist() for c in ("keys", "levels", "every"))):
             g, level = np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8)
-            g, level = (g[level >= least], level[level >= least]) if table.column("kept")[0].as_py() else (g, level)
+            g, level = (g, level) if every else (g[level >= least], level[level >= least])
             for k in range(1, int(level.max(initial=0)) + 1):
-                for bit in _bits(g[level >= k], k, size):
+                for probe in range(PROBES):
+                    bit = _bit(g[level >= k], k, probe, size)
                     np.bitwise_or.at(words, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
         return pa.table({"seg": pa.array([table.column("seg")[0].as_py()], pa.int32()), "bits": pa.array([words.tobytes()], pa.binary())})
 
@@ -236,12 +270,30 @@ class Model:
         cut = next(k for k in range(1, LEVELS + 2) if k > LEVELS or events(k) <= MAX_BITS // BITS_PER_EVENT)
         size = min(MAX_BITS, events(cut) * BITS_PER_EVENT) // segments // 64 * 64 + 64
         singles = self.counts.mapInArrow(_as_blobs(segments), "seg int, keys binary, levels binary")
-        both = pairs.select("seg", "keys", "levels", F.lit(True).alias("kept")).unionByName(singles.withColumn("kept", F.lit(False)))
-        made = both.groupBy("seg", "kept").applyInArrow(_filled(size, cut), "seg int, bits binary").collect()  # MAX_BITS / 4 bytes at most
+        both = pairs.select("seg", "keys", "levels", F.lit(False).alias("every")).unionByName(singles.withColumn("every", F.lit(True)))
+        made = both.groupBy("seg").applyInArrow(_filled(size, cut), "seg int, bits binary").collect()  # MAX_BITS / 8 bytes at most
         words = np.zeros(segments * size // 64, np.uint64)
         for r in made:
-            words[r["seg"] * size // 64 : (r["seg"] + 1) * size // 64] |= np.frombuffer(r["bits"], np.uint64)
-        self.filter = Filter(words, segments, size, total, self.vocabulary, start["n"] if start else 0)
+            words[r["seg"] * size // 64 : (r["seg"] + 1) * size // 64] = np.frombuffer(r["bits"], np.uint64)
+        once, twice = (sum(r["v"] for r in by_level if r["level"] == 1), sum(r["v"] for r in by_level if r["fine"] == 8))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        self.filter = Filter(words, segments, size, total, self.vocabulary, discount, start["n"] if start else 0)
+        shared = docs.sparkSession.sparkContext.broadcast(self.filter)
+
+        def ratios(batches):
+            sums = np.zeros((LEVELS + 1) * RATIOS, np.int64)
+            for batch in batches:
+                texts = batch.column(0).to_pylist()
+                for low, high in _runs(texts):
+                    sums += shared.value.ratios(np.concatenate([tokens(t) for t in texts[low:high]]))
+            there = np.flatnonzero(sums)
+            yield pa.record_batch({"at": there, "n": sums[there]})
+
+        got = train.mapInArrow(ratios, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        n = np.zeros((LEVELS + 1) * RATIOS)
+        for r in got:
+            n[r["at"]] = r["n"]
+        self.filter.fit(n)
 
 
 def _as_blobs(segments: int):
