@@ -45,7 +45,8 @@ def heavy_digests(digests: DataFrame, order) -> DataFrame:
         .groupBy("merger")
         .agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED})").alias("sketch"))
     )
-    found = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {CANDIDATES})").alias("top"))
+    # grouped by a key that is 0 everywhere: a global combine fails on empty partitions
+    found = sketches.groupBy(F.floor(F.col("merger") / MERGERS)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {CANDIDATES})").alias("top"))
     candidates = found.select(F.explode("top.item").alias("candidate"))
     return (
         digests.join(F.broadcast(candidates), F.xxhash64("text_sha256") == F.col("candidate"))
