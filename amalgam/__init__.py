@@ -1,0 +1 @@
+"""Consolidation of records from many sources into entities, and the analytics on top, on Spark."""
