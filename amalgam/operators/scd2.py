@@ -21,57 +21,54 @@ def row_hash(columns: list[str], technical: tuple[str, ...] = TECHNICAL) -> Colu
 
 
 def versions(changes: DataFrame, keys: list[str], columns: list[str], stored: DataFrame | None = None, technical: tuple[str, ...] = TECHNICAL) -> DataFrame:
-    """keys, columns, hash, op, lsn, seqval, valid_from, valid_to: with ``stored`` (the same columns), the whole next history.
+    """keys, columns, hash, op, lsn, seqval, valid_from, valid_to, closed_lsn, closed_seqval: with ``stored`` (the same
+    columns), the whole next history. The place that closed a version is kept, so that replayed changes before it open nothing.
 
     ``changes``: keys, columns, op, lsn, seqval, commit_time.
     """
-    events = changes.filter("op <> 'update_before'").select(
-        *keys, *columns, row_hash(columns, technical).alias("hash"), "op", "lsn", "seqval", F.col("commit_time").alias("valid_from"),
-        F.lit(None).cast("timestamp").alias("valid_to"), F.lit(False).alias("__stored"),
+    out = [*keys, *columns, "hash", "op", "lsn", "seqval", "valid_from", "valid_to", "closed_lsn", "closed_seqval"]
+    time = dict(changes.dtypes)["commit_time"]
+    place, closed = F.struct("lsn", "seqval"), F.struct(F.col("closed_lsn").alias("lsn"), F.col("closed_seqval").alias("seqval"))
+    events = (
+        changes.filter("op <> 'update_before'").dropDuplicates([*keys, "lsn", "seqval"])  # a batch may repeat a change
+        .select(*keys, *columns, row_hash(columns, technical).alias("hash"), "op", "lsn", "seqval", F.col("commit_time").alias("valid_from"))
+        .withColumns({"valid_to": F.lit(None).cast(time), "closed_lsn": F.lit(None).cast("string"), "closed_seqval": F.lit(None).cast("string")})
+        .withColumn("__stored", F.lit(False))
     )
-    # a replay may repeat a change inside one batch, too
-    events = events.dropDuplicates([*keys, "lsn", "seqval"])
-    log = Window.partitionBy(*keys).orderBy(F.col("__place"))
-    place = F.struct("lsn", "seqval")
-    untouched = None
+    rest = None
     if stored is not None:
-        kind = dict(stored.dtypes)["valid_to"]
-        events = events.withColumn("valid_to", F.lit(None).cast(kind))
         touched = events.select(*(F.col(k).alias(f"__k_{k}") for k in keys)).distinct()
         same = [stored[k].eqNullSafe(touched[f"__k_{k}"]) for k in keys]
-        untouched = stored.join(touched, same, "left_anti")
-        mine = stored.join(touched, same, "left_semi").withColumn("__stored", F.lit(True))
         whole = Window.partitionBy(*keys)
-        events = (
+        mine = stored.join(touched, same, "left_semi").withColumn("__stored", F.lit(True))
+        both = (
             mine.select(*events.columns).unionByName(events)
-            .withColumn("__place", place)
-            .withColumn("__last", F.max(F.when(F.col("__stored"), F.col("__place"))).over(whole))
-            .filter(F.col("__stored") | F.col("__last").isNull() | (F.col("__place") > F.col("__last")))
+            .withColumn("__newest", F.max(F.when(F.col("__stored"), place)).over(whole))
+            .withColumn("__applied", F.max(F.when(F.col("__stored"), F.when(F.col("closed_lsn").isNotNull(), F.greatest(place, closed)).otherwise(place))).over(whole))
         )
-        past = events.filter(F.col("__stored") & (F.col("__place") < F.col("__last")))
-        events = events.filter(~(F.col("__stored") & (F.col("__place") < F.col("__last"))))
-    else:
-        events = events.withColumn("__place", place)
-        past = None
-    state = F.when(F.col("__stored"), F.when(F.col("valid_to").isNull(), F.col("hash"))).when(F.col("op") != "delete", F.col("hash"))
-    before = F.lag("__state").over(log)
+        older = F.col("__stored") & (place < F.col("__newest"))
+        rest = stored.join(touched, same, "left_anti").select(out).unionByName(both.filter(older).select(out))
+        fresh = ~F.col("__stored") & (F.col("__applied").isNull() | (place > F.col("__applied")))
+        events = both.filter((F.col("__stored") & ~older) | fresh).drop("__newest", "__applied")
+    log = Window.partitionBy(*keys).orderBy("lsn", "seqval")
+    is_stored, deletes = F.col("__stored"), F.col("op") == "delete"
+    state = F.when(is_stored, F.when(F.col("valid_to").isNull(), F.col("hash"))).when(~deletes, F.col("hash"))
+    opens = ~is_stored & ~deletes & ~F.col("__state").eqNullSafe(F.col("__before"))
+    closes = ~is_stored & deletes & F.col("__before").isNotNull()
     steps = (
         events.withColumn("__state", state)
-        .withColumn("__before", before)
-        .withColumn("__opens", ~F.col("__stored") & (F.col("op") != "delete") & ~F.col("__state").eqNullSafe(F.col("__before")))
-        .withColumn("__closes", ~F.col("__stored") & (F.col("op") == "delete") & F.col("__before").isNotNull())
-        .filter(F.col("__stored") | F.col("__opens") | F.col("__closes"))
-        .withColumn("__next", F.lead("valid_from").over(log))
-        .filter(F.col("__stored") | F.col("__opens"))
+        .withColumn("__before", F.lag("__state").over(log))
+        .withColumn("__opens", opens)
+        .filter(is_stored | F.col("__opens") | closes)
+        .withColumn("__next", F.lead(F.struct("valid_from", "lsn", "seqval")).over(log))
+        .filter(is_stored | F.col("__opens"))
     )
-    out = [*keys, *columns, "hash", "op", "lsn", "seqval", "valid_from"]
-    done = steps.select(*out, F.coalesce("valid_to", "__next").alias("valid_to"))
-    for more in (past, untouched):
-        if more is not None:
-            done = done.unionByName(more.select(*out, "valid_to"))
-    return done
+    was_closed = F.col("valid_to").isNotNull()
+    end = lambda name, kept: F.when(was_closed, F.col(kept)).otherwise(F.col("__next")[name]).alias(kept)
+    done = steps.select(*out[:-3], end("valid_from", "valid_to"), end("lsn", "closed_lsn"), end("seqval", "closed_seqval"))
+    return done if rest is None else done.unionByName(rest)
 
 
 def current(history: DataFrame) -> DataFrame:
     """The open versions without the columns that only the history needs."""
-    return history.filter("valid_to IS NULL").drop("valid_to", "hash", "op", "lsn", "seqval")
+    return history.filter("valid_to IS NULL").drop("valid_to", "hash", "op", "lsn", "seqval", "closed_lsn", "closed_seqval")
