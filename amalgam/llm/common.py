@@ -2,54 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..expressions import let
+from ..storage import discard, materialize, shared_dir
+
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share.
-
-    It is the one the session names in ``spark.checkpoint.dir``. Where that is unset a temporary folder serves a
-    local master, whose executors run in this process; any other cluster has to name one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="amalgam-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and a lost executor
-    costs a read of that file instead of the steps before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._amalgam_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._amalgam_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row, also inside lambdas, where Spark shares no subexpressions."""
-    return F.transform(F.array(value), body)[0]
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Within it, Python gets at most so many rows at once: texts are long, and each task holds a batch several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -58,3 +33,6 @@ def text_or_empty(name: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+__all__ = ["SPACE", "WORD", "arrow_rows", "discard", "documents", "let", "materialize", "shared_dir", "text_or_empty"]

@@ -16,8 +16,8 @@ fitted by expectation-maximisation over all training tokens, each left out of it
 
 The filter has at most ``MAX_BITS`` bits, so the broadcast is bounded. Of more events than ``MAX_BITS / BITS_PER_EVENT``
 those of the rarest bigrams are left out, by level, the usual count cut-off of a language model; below that size the
-filter grows with the corpus. The n-grams of one filter segment are counted and entered by one task; there are as many
-segments as input partitions.
+filter grows with the corpus. The n-grams of one filter segment are counted and entered by one task; there are four
+segments to an input partition.
 
 The base score needs exact counts. The most frequent tokens (at most ``FREQUENT``) are broadcast with theirs; occurrences
 of all others meet the count table in a join, pre-aggregated per document. Tokens and bigrams are identified by 64-bit
@@ -29,25 +29,31 @@ N = V = 0 and every base probability is 1. Empty table: no rows.
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_rows, materialize
 
-FREQUENT = 1 << 19
-MAX_BITS, BITS_PER_EVENT, PROBES, LEVELS = 1 << 29, 10, 4, 48
+FREQUENT = 1 << 18
+MAX_BITS, BITS_PER_EVENT, PROBES, LEVELS = 1 << 28, 10, 3, 48
+#: Documents that a task takes in at once.
+ROWS = 1000
 #: Classes of the ratio of the two probabilities that the weights are fitted on, 4 to a doubling around 1; the first: 0.
 RATIOS = 256
 #: Tokens that are counted together before they leave a task.
-CHUNK = 1 << 21
+CHUNK = 2 << 20
+#: Bigrams are told apart by 48 bits: fewer than one in ten thousand of 10^9 meet another, far below the filter's error.
+_KEY = np.uint64((1 << 48) - 1)
 #: Words have no white space, so these can't be words.
 END, START = (np.uint64(xxhash.xxh64_intdigest(x, 1)) for x in (b" end", b" start"))
+_ONE, _SIX = np.uint64(1), np.uint64(63)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -55,12 +61,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def tokens(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(1)), np.uint64, len(words))
-    out[-1] = END
-    return out
+def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of several texts as one array of places in an array of hashes, those hashes, and where each text ends."""
+    split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    for words in split:
+        words.append(b" end")  # no word has a space
+    ends = np.cumsum([len(words) for words in split])
+    x = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split), repeat(1)), np.uint64, int(ends[-1]))
+    hashes, at = np.unique(x, return_inverse=True)
+    return at, hashes, ends
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,13 +102,16 @@ def estimate(level: np.ndarray) -> np.ndarray:
 
 
 def _segment(g: np.ndarray, n: int) -> np.ndarray:
-    return (g >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)
+    return (g >> np.uint64(24) & np.uint64((1 << 24) - 1)) * np.uint64(n) >> np.uint64(24)
 
 
-def _bit(g: np.ndarray, level: int, probe: int, size: int) -> np.ndarray:
-    """One of the bits of its segment that stand for an n-gram at a level."""
-    h = _mix(g + np.uint64((level * PROBES + probe) * int(_M1) % (1 << 64)))
-    return (h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
+def _event(g: np.ndarray, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of its segment, and the bits there, that stand for an n-gram at a level: one look-up for a probe."""
+    h = _mix(g + np.uint64(level * int(_M1) % (1 << 64)))
+    bits = _ONE << (h & _SIX)
+    for shift in range(6, 6 * PROBES, 6):
+        bits |= _ONE << ((h >> np.uint64(shift)) & _SIX)
+    return (h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32), bits
 
 
 class Filter:
@@ -108,32 +120,31 @@ class Filter:
     def __init__(self, words: np.ndarray, segments: int, size: int, total: float, vocabulary: int, discount: float, starts: int):
         self.words, self.segments, self.size = words, segments, size
         self.total, self.vocabulary, self.discount, self.starts = total, vocabulary, discount, starts
-        self.weights = np.zeros(LEVELS + 1)
 
     def levels(self, g: np.ndarray) -> np.ndarray:
         """The level of each n-gram by repeated membership probes."""
         out = np.zeros(len(g), np.uint8)
-        alive = np.arange(len(g)) if self.size else np.zeros(0, np.int64)
-        base = _segment(g, self.segments) * np.uint64(self.size)
+        alive, base = np.arange(len(g)), _segment(g, self.segments) * np.uint64(self.size)
         for level in range(1, LEVELS + 1):
-            for probe in range(PROBES):  # most n-grams leave at the first one
-                at = base[alive] + _bit(g[alive], level, probe, self.size)
-                alive = alive[(self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0]
+            word, bits = _event(g, level, self.size)
+            there = (self.words[base + word] & bits) == bits
+            alive, g, base = alive[there], g[there], base[there]
             if not len(alive):
                 break
             out[alive] = level
         return out
 
-    def estimates(self, x: np.ndarray):
+    def estimates(self, at: np.ndarray, hashes: np.ndarray):
         """For each token of a concatenation of documents: n(w), level of n(v), n(v), n(v w)."""
-        word, at = np.unique(x, return_inverse=True)
-        level = self.levels(_mix(word))[at]
-        pair, of = np.unique(bigrams(x), return_inverse=True)
+        x = hashes[at]
+        word_levels = self.levels(_mix(hashes) & _KEY)
+        level, count = word_levels[at], estimate(word_levels)[at]
+        v = _before(x)
+        pair, of = np.unique(_mix(v * _M1 + x) & _KEY, return_inverse=True)
         both = estimate(self.levels(pair))[of]
-        count = estimate(level)
-        start = _before(x) == START
         prior_level, prior = np.empty_like(level), np.empty(len(x))
         prior_level[1:], prior[1:] = level[:-1], count[:-1]
+        start = v == START
         prior_level[start], prior[start] = level_of(np.array([self.starts]))[0], self.starts
         return count, prior_level, prior, np.minimum(both, prior)
 
@@ -142,61 +153,91 @@ class Filter:
             return np.ones(len(count))
         return np.where(count > 0, count - self.discount, self.discount * self.vocabulary) / self.total
 
-    def log10(self, x: np.ndarray) -> np.ndarray:
-        """Log probability of each token of a concatenation of documents."""
-        count, level, prior, both = self.estimates(x)
-        k = self.weights[level]
+    def log10(self, at: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Log probability of each token of a concatenation of documents. ``weights``: of the bigram, by level of n(v)."""
+        count, level, prior, both = self.estimates(at, hashes)
+        k = weights[level]
         return np.log10(k * both / np.maximum(prior, 1) + (1 - k) * self.unigram(count))
 
-    def ratios(self, x: np.ndarray) -> np.ndarray:
+    def ratios(self, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """How many training tokens have a level of n(v) and class of ratio, each left out of its own counts."""
-        count, level, prior, both = self.estimates(x)
+        count, level, prior, both = self.estimates(at, hashes)
         own = np.maximum(both - 1, 0) / np.maximum(prior - 1, 1)
         with np.errstate(divide="ignore"):
             ratio = np.log2(own / self.unigram(count))
         cls = np.where(own > 0, np.clip(np.round(4 * ratio), -RATIOS // 2 + 1, RATIOS // 2 - 1), -RATIOS // 2) + RATIOS // 2
         return np.bincount(level.astype(np.int64) * RATIOS + cls.astype(np.int64), minlength=(LEVELS + 1) * RATIOS)
 
-    def fit(self, n: np.ndarray) -> None:
-        """The weights from the counts of ``ratios``, by level."""
-        ratio = np.exp2((np.arange(RATIOS) - RATIOS // 2) / 4)
-        ratio[0] = 0
-        for level, of in enumerate(n.reshape(LEVELS + 1, RATIOS)):
-            k = 0.5 * (of.sum() > 0)
-            for _ in range(200):
-                k = float(of @ (k * ratio / (k * ratio + 1 - k))) / max(of.sum(), 1)
-            self.weights[level] = min(k, 0.999)
+
+def fit_weights(n: np.ndarray) -> np.ndarray:
+    """The weights from the counts of ``ratios``, by level."""
+    ratio = np.exp2((np.arange(RATIOS) - RATIOS // 2) / 4)
+    ratio[0] = 0
+    out = np.zeros(LEVELS + 1)
+    for level, of in enumerate(n.reshape(LEVELS + 1, RATIOS)):
+        k = 0.5 * (of.sum() > 0)
+        for _ in range(200):
+            k = min(0.999, float(of @ (k * ratio / (k * ratio + 1 - k))) / max(of.sum(), 1))
+        out[level] = k
+    return out
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def _pack(key: np.ndarray) -> bytes:
+    """The low 48 bits of each key; the segment and the order hold the rest."""
+    return key.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
 
 
 def _counted(segments: int):
-    """Partial counts: unigrams as rows, bigrams as one blob of sorted hashes and counts for each segment."""
+    """Partial counts: unigrams as rows; for each segment the bigrams seen once, and those seen more often with their counts."""
 
     def count(batches):
-        held, n = [], 0
+        held, words, n = [], [], 0
 
         def flush():
-            x = np.concatenate(held)
-            word, c = np.unique(x, return_counts=True)
-            yield pa.record_batch({"seg": pa.array(np.full(len(word), -1, np.int32)), "h": word.view(np.int64), "c": c.astype(np.int64), "keys": pa.nulls(len(word), pa.binary()), "counts": pa.nulls(len(word), pa.binary())})
-            pair, c = np.unique(bigrams(x), return_counts=True)
-            seg = _segment(pair, segments)
-            ends = np.searchsorted(seg, np.arange(segments + 1, dtype=np.uint64))
+            word, c = _summed(np.concatenate([w for w, _ in words]), np.concatenate([c for _, c in words]))
+            nulls = lambda kind: pa.nulls(len(word), kind)
+            yield pa.record_batch({
+                "seg": np.full(len(word), -1, np.int32), "h": word.view(np.int64), "c": c.astype(np.int64),
+                "once": nulls(pa.binary()), "more": nulls(pa.binary()), "counts": nulls(pa.binary()),
+            })
+            pair = np.concatenate(held)
+            pair.sort()
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            c = np.diff(np.append(first, len(pair))).astype(np.uint32)
+            pair = pair[first]
+            ends = np.searchsorted(_segment(pair, segments), np.arange(segments + 1, dtype=np.uint64))
             there = [s for s in range(segments) if ends[s] < ends[s + 1]]
-            c = c.astype(np.uint32)
+            parts = [(pair[ends[s] : ends[s + 1]], c[ends[s] : ends[s + 1]]) for s in there]
             yield pa.record_batch({
                 "seg": pa.array(there, pa.int32()), "h": pa.nulls(len(there), pa.int64()), "c": pa.nulls(len(there), pa.int64()),
-                "keys": pa.array([pair[ends[s] : ends[s + 1]].tobytes() for s in there], pa.binary()),
-                "counts": pa.array([c[ends[s] : ends[s + 1]].tobytes() for s in there], pa.binary()),
+                "once": pa.array([_pack(k[n == 1]) for k, n in parts], pa.binary()), "more": pa.array([_pack(k[n > 1]) for k, n in parts], pa.binary()),
+                "counts": pa.array([n[n > 1].tobytes() for _, n in parts], pa.binary()),
             })
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(tokens(text))
-                n += len(held[-1])
+            for _, _, texts in _runs(batch.column(0)):
+                at, hashes, _ = encode(texts)
+                words.append((hashes, np.bincount(at, minlength=len(hashes))))
+                held.append(bigrams(hashes[at]) & _KEY)
+                n += len(at)
                 if n >= CHUNK:
                     yield from flush()
-                    held, n = [], 0
-        if held:
+                    held, words, n = [], [], 0
+        if n:
             yield from flush()
 
     return count
@@ -204,17 +245,15 @@ def _counted(segments: int):
 
 def _merged(table: pa.Table) -> pa.Table:
     """One segment's bigrams with their levels, and how many of each level; rows of at most a million."""
-    keys = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()])
-    counts = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("counts").to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    level = level_of(np.add.reduceat(counts.astype(np.int64), first))
-    keys = keys[first]
+    read = lambda c: table.column(c).to_pylist()
+    once, more = [_unpack(b) for b in read("once")], [_unpack(b) for b in read("more")]
+    counts = [np.ones(sum(map(len, once)), np.uint32)] + [np.frombuffer(b, np.uint32) for b in read("counts")]
+    keys, counts = _summed(np.concatenate(once + more), np.concatenate(counts))
+    level = level_of(counts)
     cuts = range(0, len(keys), 1 << 20)
     return pa.table({
         "seg": pa.array([table.column("seg")[0].as_py()] * len(cuts), pa.int32()),
-        "keys": pa.array([keys[a : a + (1 << 20)].tobytes() for a in cuts], pa.binary()),
+        "keys": pa.array([_pack(keys[a : a + (1 << 20)]) for a in cuts], pa.binary()),
         "levels": pa.array([level[a : a + (1 << 20)].tobytes() for a in cuts], pa.binary()),
         "sizes": pa.array([np.bincount(level[a : a + (1 << 20)], minlength=LEVELS + 1).tolist() for a in cuts], pa.list_(pa.int64())),
     })
@@ -224,26 +263,26 @@ def _filled(size: int, least: int):
     """The bits of each segment."""
 
     def fill(table: pa.Table) -> pa.Table:
-        words = np.zeros(size // 64, np.uint64)
+        words = np.zeros(size, np.uint64)
         for keys, levels, every in zip(*(table.column(c).to_pylist() for c in ("keys", "levels", "every"))):
-            g, level = np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8)
+            g, level = _unpack(keys), np.frombuffer(levels, np.uint8)
             g, level = (g, level) if every else (g[level >= least], level[level >= least])
             for k in range(1, int(level.max(initial=0)) + 1):
-                for probe in range(PROBES):
-                    bit = _bit(g[level >= k], k, probe, size)
-                    np.bitwise_or.at(words, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
+                word, bits = _event(g[level >= k], k, size)
+                np.bitwise_or.at(words, word, bits)
         return pa.table({"seg": pa.array([table.column("seg")[0].as_py()], pa.int32()), "bits": pa.array([words.tobytes()], pa.binary())})
 
     return fill
 
 
 class Model:
-    """counts: DataFrame (token, n), exact; n, vocabulary: N and V of the base; filter: for the model's probabilities."""
+    """counts: DataFrame (token, n), exact; n, vocabulary: N and V of the base; shared: a broadcast of the filter and the frequent
+    tokens with their counts; weights: of the bigram, by level of its first word's count."""
 
     def __init__(self, docs: DataFrame):
         train = docs.filter(~held_out()).select("text")
-        segments = max(8, docs.rdd.getNumPartitions())
-        partial = materialize(train.mapInArrow(_counted(segments), "seg int, h long, c long, keys binary, counts binary"), "ngrams")
+        segments = max(32, 4 * docs.rdd.getNumPartitions())
+        partial = materialize(train.mapInArrow(_counted(segments), "seg int, h long, c long, once binary, more binary, counts binary"), "ngrams")
         self.counts = materialize(partial.filter("seg < 0").groupBy(F.col("h").alias("token")).agg(F.sum("c").alias("n")), "tokens")
         level = F.floor(F.log2("n")).cast("int") + 1
         by_level = self.counts.groupBy(level.alias("level"), F.floor(F.log2("n") * 8).cast("int").alias("fine")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()
@@ -258,34 +297,34 @@ class Model:
             if room < 0:
                 break
             least = r["fine"]
-        top = [] if least is None else self.counts.filter(F.floor(F.log2("n") * 8) >= least).collect()
-        token = np.fromiter((r["token"] for r in top), np.int64, len(top)).view(np.uint64)
+        top = self.counts.filter(F.lit(least is not None) & (F.floor(F.log2("n") * 8) >= (least or 0))).toArrow()  # FREQUENT rows at most
+        token = top.column("token").to_numpy().view(np.uint64)
         order = np.argsort(token)
-        self.frequent = token[order], np.fromiter((r["n"] for r in top), np.int64, len(top))[order]
+        self.frequent = token[order], top.column("n").to_numpy()[order]
 
         pairs = materialize(partial.filter("seg >= 0").groupBy("seg").applyInArrow(_merged, "seg int, keys binary, levels binary, sizes array<long>"), "bigrams")
         sizes = {r["level"]: r["v"] for r in pairs.select(F.posexplode("sizes").alias("level", "v")).groupBy("level").agg(F.sum("v").alias("v")).collect()}
         own = sum(r["level"] * r["v"] for r in by_level)
         events = lambda least: own + sum(k * v for k, v in sizes.items() if k >= least)
         cut = next(k for k in range(1, LEVELS + 2) if k > LEVELS or events(k) <= MAX_BITS // BITS_PER_EVENT)
-        size = min(MAX_BITS, events(cut) * BITS_PER_EVENT) // segments // 64 * 64 + 64
+        size = min(MAX_BITS, events(cut) * BITS_PER_EVENT) // segments // 64 + 1  # words of a segment
         singles = self.counts.mapInArrow(_as_blobs(segments), "seg int, keys binary, levels binary")
         both = pairs.select("seg", "keys", "levels", F.lit(False).alias("every")).unionByName(singles.withColumn("every", F.lit(True)))
-        made = both.groupBy("seg").applyInArrow(_filled(size, cut), "seg int, bits binary").collect()  # MAX_BITS / 8 bytes at most
-        words = np.zeros(segments * size // 64, np.uint64)
-        for r in made:
-            words[r["seg"] * size // 64 : (r["seg"] + 1) * size // 64] = np.frombuffer(r["bits"], np.uint64)
+        made = both.groupBy("seg").applyInArrow(_filled(size, cut), "seg int, bits binary").toArrow()  # MAX_BITS / 8 bytes at most
+        words = np.zeros(segments * size, np.uint64)
+        for seg, bits in zip(made.column("seg"), made.column("bits")):
+            words[seg.as_py() * size : (seg.as_py() + 1) * size] = np.frombuffer(bits.as_buffer(), np.uint64)
+        del made
         once, twice = (sum(r["v"] for r in by_level if r["level"] == 1), sum(r["v"] for r in by_level if r["fine"] == 8))
         discount = once / (once + 2 * twice) if once and twice else 0.5
         self.filter = Filter(words, segments, size, total, self.vocabulary, discount, start["n"] if start else 0)
-        shared = docs.sparkSession.sparkContext.broadcast(self.filter)
+        self.shared = shared = docs.sparkSession.sparkContext.broadcast((self.filter, *self.frequent))
 
         def ratios(batches):
             sums = np.zeros((LEVELS + 1) * RATIOS, np.int64)
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for low, high in _runs(texts):
-                    sums += shared.value.ratios(np.concatenate([tokens(t) for t in texts[low:high]]))
+                for _, _, texts in _runs(batch.column(0)):
+                    sums += shared.value[0].ratios(*encode(texts)[:2])
             there = np.flatnonzero(sums)
             yield pa.record_batch({"at": there, "n": sums[there]})
 
@@ -293,13 +332,14 @@ class Model:
         n = np.zeros((LEVELS + 1) * RATIOS)
         for r in got:
             n[r["at"]] = r["n"]
-        self.filter.fit(n)
+        self.weights = fit_weights(n)
+        del self.filter, words  # the broadcast has it
 
 
 def _as_blobs(segments: int):
     def blobs(batches):
         for batch in batches:
-            g = _mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            g = _mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & _KEY
             level = level_of(batch.column(1).to_numpy(zero_copy_only=False))
             seg = _segment(g, segments)
             order = np.argsort(seg, kind="stable")
@@ -307,7 +347,7 @@ def _as_blobs(segments: int):
             ends = np.searchsorted(seg, np.arange(segments + 1, dtype=np.uint64))
             there = [s for s in range(segments) if ends[s] < ends[s + 1]]
             yield pa.record_batch({
-                "seg": pa.array(there, pa.int32()), "keys": pa.array([g[ends[s] : ends[s + 1]].tobytes() for s in there], pa.binary()),
+                "seg": pa.array(there, pa.int32()), "keys": pa.array([_pack(g[ends[s] : ends[s + 1]]) for s in there], pa.binary()),
                 "levels": pa.array([level[ends[s] : ends[s + 1]].tobytes() for s in there], pa.binary()),
             })
 
@@ -316,25 +356,24 @@ def _as_blobs(segments: int):
 
 def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
-    model = model or Model(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((model.filter, *model.frequent))
+    with arrow_rows(docs.sparkSession, ROWS):
+        model = model or Model(docs)
+    shared, weights = model.shared, model.weights
     kind = dict(docs.dtypes)["doc_id"]
 
     def rate(batches):
         filter_, token, count = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for at, upto in _runs(texts):
-                each = [tokens(t) for t in texts[at:upto]]
-                ends = np.cumsum([len(x) for x in each])
+            for at, upto, texts in _runs(batch.column(2)):
+                places, hashes, ends = encode(texts)
                 begins = np.concatenate([[0], ends[:-1]])
-                x = np.concatenate(each)
-                model_log = np.add.reduceat(filter_.log10(x), begins)
-                place = np.minimum(np.searchsorted(token, x), max(len(token) - 1, 0))
-                known = token[place] == x if len(token) else np.zeros(len(x), bool)
-                logs = np.zeros(len(x))
-                logs[known] = np.log10(count[place[known]] + 1.0)
+                model_log = np.add.reduceat(filter_.log10(places, hashes, weights), begins)
+                found = np.minimum(np.searchsorted(token, hashes), max(len(token) - 1, 0))
+                there = token[found] == hashes if len(token) else np.zeros(len(hashes), bool)
+                own = np.zeros(len(hashes))
+                own[there] = np.log10(count[found[there]] + 1.0)
+                known, logs, x = there[places], own[places], hashes[places]
                 rest = np.flatnonzero(~known)
                 doc = np.searchsorted(ends, rest, "right")
                 # a document's rare tokens, each with how often it occurs
@@ -342,16 +381,17 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 d, t = doc[order], x[rest][order]
                 first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])) if len(d) else np.zeros(0, np.int64)
                 times = np.diff(np.append(first, len(d)))
-                cut = np.searchsorted(d[first], np.arange(len(each) + 1)).astype(np.int32)
+                cut = np.searchsorted(d[first], np.arange((upto - at) + 1)).astype(np.int32)
                 yield pa.record_batch({
-                    "row": np.arange(row, row + len(each)), "doc_id": batch.column(0).slice(at, upto - at), "held_out": batch.column(1).slice(at, upto - at),
+                    "row": np.arange(row, row + (upto - at)), "doc_id": batch.column(0).slice(at, upto - at), "held_out": batch.column(1).slice(at, upto - at),
                     "n_tokens": np.diff(np.append(begins, len(x))), "known": np.add.reduceat(known.astype(np.int64), begins), "logs": np.add.reduceat(logs, begins), "score": model_log,
                     "rare": pa.ListArray.from_arrays(cut, t[first].view(np.int64)), "times": pa.ListArray.from_arrays(cut, times.astype(np.int32)),
                 })
-                row += len(each)
+                row += (upto - at)
 
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<int>"
-    rated = materialize(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(rate, schema), "rated")
+    with arrow_rows(docs.sparkSession, ROWS):
+        rated = materialize(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(rate, schema), "rated")
     rare = rated.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("token"), F.col("t.times").alias("times"))
     met = rare.join(model.counts, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     log_all = float(np.log10(model.n + model.vocabulary + 1))
@@ -361,13 +401,12 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     )
 
 
-def _runs(texts: list, chars: int = 4 << 20):
-    """Index ranges of texts of about so many characters."""
-    low, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= chars:
-            yield low, i + 1
-            low, held = i + 1, 0
-    if low < len(texts):
-        yield low, len(texts)
+def _runs(column: pa.Array, size: int = 1 << 20):
+    """The column in stretches of about so many bytes: (from, to, texts)."""
+    length = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    low = 0
+    while low < len(column):
+        before = length[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(length, before + size, "right")))
+        yield low, high, column.slice(low, high - low).to_pylist()
+        low = high
