@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY, REPETITIONS, BLOCK, MAX_KEYS = 0.8, 5, 20_000, 4_000_000
-#: Words of a window, by class, and the steps that are sampled for its key.
+#: Words of a window, by class, and the steps that are sampled for its key. For a block of shorter items the smallest class has
+#: the words of the shortest.
 CLASSES = ((8, (0, 3, 6, 9, 12)), (16, (0, 5, 10, 16, 22)), (32, (0, 10, 20, 31, 42)))
 STEPS = 1 + max(s for _, steps in CLASSES for s in steps)
 ANCHOR_SPAN = 6
@@ -66,8 +67,10 @@ def _multipliers(repetition: int) -> np.ndarray:
     return np.random.default_rng(1000 + repetition).integers(0, 1 << 31, STEPS, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def _keys(padded: np.ndarray, starts: np.ndarray, factors: np.ndarray, repetition: int) -> list[np.ndarray]:
-    """By class, a 64-bit key of the window of that size from each start. ``padded`` has ``STEPS`` symbols to spare."""
+def _keys(padded: np.ndarray, starts: np.ndarray, repetition: int, least: int) -> list[np.ndarray]:
+    """By class, a 64-bit key of the window of that size from each start; the smallest class has ``least`` words. ``padded`` has
+    ``STEPS`` symbols to spare."""
+    factors = _multipliers(repetition)
     walked = np.zeros(len(starts), np.int32)
     starts = starts.astype(np.int32)
     salt = lambda c: np.full(len(starts), (repetition * len(CLASSES) + c + 1) * 0x9E3779B9, np.uint64)
@@ -76,7 +79,7 @@ def _keys(padded: np.ndarray, starts: np.ndarray, factors: np.ndarray, repetitio
         symbol = padded[starts + walked]
         for c, (size, sampled) in enumerate(CLASSES):
             if step in sampled:
-                out[c] = (out[c] ^ np.where(walked < size, symbol, np.uint32(0))) * _M1
+                out[c] = (out[c] ^ np.where(walked < min(size, least if c == 0 else size), symbol, np.uint32(0))) * _M1
                 out[c] ^= out[c] >> np.uint64(29)
         walked += ((symbol * factors[step]) >> np.uint32(31)).astype(np.int32)
     return [(k * _M2) ^ (k >> np.uint64(32)) for k in out]
@@ -122,10 +125,10 @@ class Index:
         for t, x in enumerate(self.words):
             padded, starts = np.concatenate([x, np.zeros(STEPS + 1, np.uint32)]), anchors(x, self.span)
             for r in range(REPETITIONS):
-                for (size, _), k in zip(CLASSES, _keys(padded, starts, _multipliers(r), r)):
-                    # windows that the item fills, of its own order of size; the smallest class serves shorter items too
+                for (size, _), k in zip(CLASSES, _keys(padded, starts, r, self.least)):
+                    # windows that the item fills, of its own order of size
                     ok = starts + (self.least if size == CLASSES[0][0] else size) <= len(x)
-                    ok &= len(x) <= NARROWEST * size
+                    ok &= (len(x) <= NARROWEST * size) | (size == CLASSES[-1][0])
                     keys.append(k[ok])
                     owners.append(np.full(int(ok.sum()), t))
                     offsets.append(starts[ok])
@@ -146,7 +149,7 @@ class Index:
         for at in range(0, len(starts), CHUNK):
             some = starts[at : at + CHUNK]
             for r in range(REPETITIONS):
-                for k in _keys(padded, some, _multipliers(r), r):
+                for k in _keys(padded, some, r, self.least):
                     hit = np.flatnonzero(self.slots[k % np.uint64(SLOTS)])
                     if len(hit):
                         low, high = np.searchsorted(self.key, k[hit], "left"), np.searchsorted(self.key, k[hit], "right")
@@ -209,16 +212,25 @@ def _batches(texts: list, chars: int = 1 << 20):
 
 
 def _blocks(benchmark: DataFrame, block: int = BLOCK):
+    """Indexes of the items in blocks; items shorter than the smallest window have their own, of windows that they fill."""
     held: list[tuple[int, str]] = []
+    short: list[tuple[int, str]] = []
     words = 0
     for r in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
+        if len(symbols(r[1])) < CLASSES[0][0]:
+            short.append((r[0], r[1]))
+            if len(short) == block:
+                yield Index(short)
+                short = []
+            continue
         held.append((r[0], r[1]))
         words += len(r[1]) // 2
         if len(held) == block or words * REPETITIONS * len(CLASSES) >= MAX_KEYS:
             yield Index(held)
             held, words = [], 0
-    if held:
-        yield Index(held)
+    for rest in (held, short):
+        if any(len(symbols(t)) for _, t in rest):
+            yield Index(rest)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

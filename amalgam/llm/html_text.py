@@ -172,7 +172,10 @@ class Builder:
         for i in range(len(self.stack) - 1, 1, -1):
             open_tag = self.stack[i].tag
             if open_tag == tag:
-                del self.stack[i:]
+                if tag not in BLOCKS and any(n.tag in BLOCKS for n in self.stack[i + 1 :]):
+                    del self.stack[i]  # a block that began inside goes on
+                else:
+                    del self.stack[i:]
                 return
             if open_tag in ("td", "th", "caption", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
                 break

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 
 BUCKETS, SAMPLE, MAX_LANGUAGES = 1 << 15, 4000, 1000
-SMOOTHING, PENALTY, LEAST_SHARE, ROUNDS = 0.2, 3.0, 0.02, 25
+SMOOTHING, PENALTY, LEAST_SHARE, ROUNDS = 0.2, 3.0, 0.02, 100
 UNKNOWN = "und"
 #: The filter of the pipeline keeps documents whose main language has at least this share.
 KEEP_SHARE = 0.4
@@ -114,7 +114,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 sums.setdefault(lang, np.zeros(BUCKETS, np.int64))[at] += n
         for lang, n in sums.items():
             at = np.flatnonzero(n)
-            yield pa.record_batch({"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": n[at]})
+            yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": n[at]})
 
     counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((BUCKETS, len(languages)), SMOOTHING)

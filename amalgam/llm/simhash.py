@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from ..operators.graph import components
+from .common import materialize
 
 WORDS, SEED, RADIUS = 3, 42, 3
 LONGEST_RUN = 1 << 16
@@ -225,31 +226,11 @@ def links(fps: DataFrame) -> DataFrame:
     return edges.distinct()
 
 
-def components(edges: DataFrame, node: str = "fp", lower: str = "lower") -> DataFrame:
-    """(node, lowest) of every node with an edge to a lower one, lowest being the lowest node it reaches.
-
-    Every round hooks the lower ends of a node to its lowest one, and lets each node look past its parent.
-    """
-    edges = materialize(edges.select(F.col(node).alias("x"), F.col(lower).alias("r")).distinct(), "edges")
-    while True:
-        parent = materialize(edges.groupBy("x").agg(F.min("r").alias("p"), F.count(F.lit(1)).alias("n")), "parents")
-        step = parent.select(F.col("x").alias("px"), F.col("p").alias("pp"))
-        if parent.filter("n > 1").isEmpty() and parent.join(step, F.col("p") == F.col("px"), "left_semi").isEmpty():
-            discard(edges)
-            return parent.select(F.col("x").alias(node), F.col("p").alias("lowest"))
-        hooked = edges.join(step, F.col("x") == F.col("px")).filter("r <> pp").select(F.col("r").alias("x"), F.col("pp").alias("r"))
-        past = parent.join(step, F.col("p") == F.col("px"), "left").select("x", F.coalesce("pp", "p").alias("r"))
-        new = materialize(hooked.unionByName(past).distinct(), "edges")
-        discard(edges)
-        discard(parent)
-        edges = new
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of each row."""
     prints = materialize(fingerprints(docs), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    lowest = components(links(classes.select("fp"))).withColumnRenamed("fp", "node")
+    lowest = components(links(classes.select("fp")), "fp").withColumnRenamed("fp", "node")
     rooted = materialize(classes.join(lowest, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("lowest", "fp").alias("root")), "roots")
     smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest").withColumnRenamed("root", "of")
     ids = materialize(rooted.join(smallest, F.col("root") == F.col("of")).select(F.col("fp").alias("class"), "component_id"), "ids")
