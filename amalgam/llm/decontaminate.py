@@ -33,6 +33,8 @@ SIMILARITY, REPETITIONS, BLOCK, MAX_KEYS = 0.8, 5, 20_000, 4_000_000
 CLASSES = ((8, (0, 3, 6, 9, 12)), (16, (0, 5, 10, 16, 22)), (32, (0, 10, 20, 31, 42)))
 STEPS = 1 + max(s for _, steps in CLASSES for s in steps)
 ANCHOR_SPAN = 6
+#: Length classes of items, by their shortest; each has its own pass over the texts, if it has items.
+LENGTHS = (1, 2, 4, 8, ANCHOR_SPAN + CLASSES[0][0] - 1)
 #: An item isn't looked for by windows of less than this part of it.
 NARROWEST = 8
 #: Anchor windows that walk at once, and slots of the table that a key must meet before the exact lookup.
@@ -119,8 +121,10 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         known = [(i, x) for i, x in ((i, symbols(t)) for i, t in items) if len(x)]
         self.ids, self.words = [i for i, _ in known], [x for _, x in known]
-        self.span = min([ANCHOR_SPAN, *map(len, self.words)])
-        self.least = min([CLASSES[0][0], *map(len, self.words)])
+        shortest = min(map(len, self.words), default=1)
+        # any item has an anchor with a smallest window behind it
+        self.span = min(ANCHOR_SPAN, (shortest + 1) // 2)
+        self.least = min(CLASSES[0][0], shortest - self.span + 1)
         keys, owners, offsets = [], [], []
         for t, x in enumerate(self.words):
             padded, starts = np.concatenate([x, np.zeros(STEPS + 1, np.uint32)]), anchors(x, self.span)
@@ -212,25 +216,21 @@ def _batches(texts: list, chars: int = 1 << 20):
 
 
 def _blocks(benchmark: DataFrame, block: int = BLOCK):
-    """Indexes of the items in blocks; items shorter than the smallest window have their own, of windows that they fill."""
-    held: list[tuple[int, str]] = []
-    short: list[tuple[int, str]] = []
-    words = 0
+    """Indexes of the items in blocks. Items are indexed with others of their length class, as the shortest of a block sets its
+    smallest window and its anchors."""
+    held: dict[int, list[tuple[int, str]]] = {low: [] for low in LENGTHS}
+    words = dict.fromkeys(LENGTHS, 0)
     for r in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
-        if len(symbols(r[1])) < CLASSES[0][0]:
-            short.append((r[0], r[1]))
-            if len(short) == block:
-                yield Index(short)
-                short = []
+        n = len(symbols(r[1]))
+        if not n:
             continue
-        held.append((r[0], r[1]))
-        words += len(r[1]) // 2
-        if len(held) == block or words * REPETITIONS * len(CLASSES) >= MAX_KEYS:
-            yield Index(held)
-            held, words = [], 0
-    for rest in (held, short):
-        if any(len(symbols(t)) for _, t in rest):
-            yield Index(rest)
+        low = max(k for k in LENGTHS if k <= n)
+        held[low].append((r[0], r[1]))
+        words[low] += n
+        if len(held[low]) == block or words[low] * REPETITIONS * len(CLASSES) >= MAX_KEYS:
+            yield Index(held[low])
+            held[low], words[low] = [], 0
+    yield from (Index(items) for items in held.values() if items)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
