@@ -29,7 +29,7 @@ BUCKETS, SAMPLE, MAX_LANGUAGES = 1 << 15, 4000, 1000
 SMOOTHING, PENALTY, LEAST_SHARE, ROUNDS = 0.2, 3.0, 0.02, 100
 UNKNOWN = "und"
 #: The filter of the pipeline keeps documents whose main language has at least this share.
-KEEP_SHARE = 0.4
+KEEP_SHARE = 0.25
 _LETTER = re.compile(r"[^\W\d_]")
 
 
