@@ -8,6 +8,7 @@ from ..resolve import entities as E
 from ..resolve import pairs as P
 from ..resolve.records import inherit_countries, prepare
 from ..sources.changes import fold_bindings
+from ..storage import materialize
 from .registry import Tables, query
 
 
@@ -108,8 +109,8 @@ s AS (SELECT key_a, key_b,
 
 
 def _signalled(t: Tables, with_similarity: bool):
-    prepared = prepare(universe(t))
-    return P.signals(P.candidate_pairs(prepared).select("key_a", "key_b"), prepared, with_similarity), prepared
+    prepared = materialize(prepare(universe(t)), "prepared")
+    return materialize(P.signals(P.candidate_pairs(prepared).select("key_a", "key_b"), prepared, with_similarity), "signals"), prepared
 
 
 @query("X09 X12 J23", SIGNALS + " SELECT * FROM s")
@@ -141,9 +142,7 @@ def tie_detect(t):
 
 @query("X07 X08 V05")
 def name_similarities(t):
-    prepared = prepare(universe(t))
-    pairs = P.candidate_pairs(prepared).select("key_a", "key_b")
-    return P.decide(P.signals(pairs, prepared)).select("key_a", "key_b", "similarity", "score", "decision")
+    return P.decide(_signalled(t, True)[0]).select("key_a", "key_b", "similarity", "score", "decision")
 
 
 @query("X15 X17")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..expressions import literal_map, overlaps
 from ..functions.similarity import name_similarity
-from .records import HINT_SOURCES, REGISTER
+from .records import HINT_SOURCES, REGISTER, without_hot
 
 # Points of the signals. Fixed values.
 WEIGHTS = {
@@ -25,15 +25,15 @@ def block_keys() -> Column:
     firsts = F.array_distinct(F.transform(F.filter("parts", lambda p: F.size(p["tokens"]) > 0), lambda p: F.substring(p["tokens"][0], 1, 4)))
     places = F.when(F.size("countries") > 0, F.col("countries")).otherwise(F.array(F.lit("??")))
     prefixes = F.flatten(F.transform(places, lambda c: F.transform(firsts, lambda f: F.concat(F.lit("prefix:"), c, F.lit(":"), f))))
-    words = F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$") & (F.coalesce(F.try_element_at(F.col("token_df"), t), F.lit(0)) <= TOKEN_DF))
+    words = F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$") & (F.coalesce(F.try_element_at(F.col("token_df"), t) <= TOKEN_DF, F.lit(False))))
     tagged = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(f"{kind}:"), v))
     return F.array_distinct(F.concat(prefixes, tagged("token", words), tagged("ticker", F.col("tickers")), tagged("domain", F.col("domains"))))
 
 
-def blocks(prepared: DataFrame) -> DataFrame:
-    """block, key and the size of the block, of each record and block."""
+def blocks(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block, key, source, lei_firm) of each record and block, and (block, size)."""
     members = prepared.select(F.explode(block_keys()).alias("block"), "key", "source", "lei_firm")
-    return members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("block")))
+    return members, members.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
 
 
 def comparable(a: str, b: str) -> Column:
@@ -43,27 +43,29 @@ def comparable(a: str, b: str) -> Column:
 
 
 def candidate_pairs(prepared: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """key_a < key_b and the kinds of block that they share. Block sizes bound the join."""
-    small = blocks(prepared).filter(F.col("size") <= block_size)
+    """key_a < key_b and the kinds of block that they share. Block sizes bound the join; hot blocks leave before it."""
+    members, sizes = blocks(prepared)
+    total = sizes.agg(F.sum("size").alias("total"))
+    small = without_hot(members, "block", sizes, total, block_size).join(sizes.filter(F.col("size") <= block_size), "block")
     met = small.alias("a").join(small.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.key") < F.col("b.key")) & comparable("a", "b"))
     return met.groupBy(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).agg(F.array_sort(F.collect_set(F.substring_index("a.block", ":", 1))).alias("blocks"))
 
 
 def block_report(prepared: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     """One row: blocks, and how many are too large for pairs."""
-    sizes = blocks(prepared).select("block", "size").distinct()
-    return sizes.agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("size") > block_size).alias("too_large"))
+    return blocks(prepared)[1].agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("size") > block_size).alias("too_large"))
 
 
 def identifier_pairs(records: DataFrame) -> DataFrame:
     """key_a < key_b of records that share an identifier, whatever blocks they are in.
 
-    The records of one identifier are linked to the first of them: together they make the same cluster as all their pairs.
+    The records of one identifier are linked to the first of them, of those whose source isn't only a hint if there are any:
+    together these links join what all pairs would.
     """
     ids = F.concat(F.transform("leis", lambda x: F.concat(F.lit("lei:"), x)), F.transform("ciks", lambda x: F.concat(F.lit("cik:"), x.cast("string"))))
-    held = records.select(F.explode(F.array_distinct(ids)).alias("id"), "key")
-    first = held.groupBy("id").agg(F.min("key").alias("key_a"))
-    return held.join(first, "id").filter("key_a <> key").select("key_a", F.col("key").alias("key_b")).distinct()
+    held = records.select(F.explode(F.array_distinct(ids)).alias("id"), "key", F.col("source").isin(*HINT_SOURCES).alias("hint"))
+    first = held.groupBy("id").agg(F.min(F.struct("hint", "key"))["key"].alias("first"))
+    return held.join(first, "id").filter("first <> key").select(F.least("first", "key").alias("key_a"), F.greatest("first", "key").alias("key_b")).distinct()
 
 
 def _sides(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
