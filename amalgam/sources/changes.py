@@ -78,3 +78,26 @@ def append_by_day(df: DataFrame, path: str, day: str) -> None:
 def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def zipped_csv(spark: SparkSession, path: str, columns: list[str], block: int = 1 << 24) -> DataFrame:
+    """The named columns, as text, of the CSV files inside zip archives. An archive is one task's work, but only its compressed
+    bytes and one block of ``block`` bytes are held at a time."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+    from pyarrow import csv
+
+    def read(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in archive.namelist():
+                        if name.lower().endswith(".csv"):
+                            options = csv.ConvertOptions(include_columns=columns, column_types=dict.fromkeys(columns, pa.string()), strings_can_be_null=True)
+                            with archive.open(name) as f:
+                                yield from csv.open_csv(f, csv.ReadOptions(block_size=block), csv.ParseOptions(newlines_in_values=True), options)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(read, ", ".join(f"`{c}` string" for c in columns))
