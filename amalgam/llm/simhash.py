@@ -12,7 +12,8 @@ of 64 is abandoned once all its counters have passed 3. Links are merged where t
 fingerprints gives at most n - 1 edges, not n^2.
 
 A run of more than ``LONGEST_RUN`` fingerprints under one key isn't compared there: its rows are dealt anew by the 56
-choices of 5 of 8 parts, on which linked fingerprints agree too, so no link is lost to a hot key.
+choices of 5 of 8 parts, on which linked fingerprints agree too, so no link is lost to a hot key. Those keys leave 24 bits
+free, which bounds a run there.
 
 Components come from the edges by hooking and shortcutting until none changes, each round written to the shared folder;
 no edge or fingerprint goes to the driver.
