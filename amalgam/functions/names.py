@@ -54,14 +54,22 @@ def _ascii_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(to), many
 
 
+def _ranges(chars) -> str:
+    """The characters as a regular expression's ranges: a class of single ones would be tried one by one."""
+    codes = sorted(map(ord, chars))
+    starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2]) if after != c + 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+
+
 def to_ascii(text: Column) -> Column:
     """Compatibility decomposition without what isn't ASCII: accents go, letters that don't decompose go too."""
     one, to, many = _ascii_tables()
     spelled = F.create_map(*(F.lit(x) for kv in many.items() for x in kv))
     rare = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
-    members = "".join(f"\\u{ord(c):04x}" for c in many)
-    whole = F.when(text.rlike(f"[{members}]"), rare).otherwise(text)
-    return F.regexp_replace(F.translate(whole, one, to), r"[^\x00-\x7F]+", "")
+    whole = F.when(text.rlike(f"[{_ranges(many)}]"), rare).otherwise(text)
+    plain = F.regexp_replace(F.translate(whole, one, to), r"[^\x00-\x7F]+", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)  # most names are ASCII already
 
 
 def normalize_name(name: Column) -> Column:
@@ -77,16 +85,22 @@ def _form_pattern() -> str:
     return f"^(.+?) ({forms})(?: (?:{forms}))*$"
 
 
+def _may_end_in_form(normalized: Column) -> Column:
+    """Whether the last word is that of a legal form: most names without one are spared the long pattern."""
+    return F.substring_index(normalized, " ", -1).isin(*sorted({f.split()[-1] for f in LEGAL_FORMS}))
+
+
 def without_form(normalized: Column) -> Column:
     """The name without the legal forms at its end; its first word always stays."""
-    bare = F.regexp_extract(normalized, _form_pattern(), 1)
-    return F.when(bare == "", normalized).otherwise(bare)
+    bare = F.when(_may_end_in_form(normalized), F.regexp_extract(normalized, _form_pattern(), 1))
+    return F.coalesce(F.nullif(bare, F.lit("")), normalized)
 
 
 def legal_form(normalized: Column) -> Column:
     """The short form of the innermost legal form, or empty."""
     forms = F.create_map(*(F.lit(x) for kv in LEGAL_FORMS.items() for x in kv))
-    return F.coalesce(F.try_element_at(forms, F.regexp_extract(normalized, _form_pattern(), 2)), F.lit(""))
+    found = F.when(_may_end_in_form(normalized), F.try_element_at(forms, F.regexp_extract(normalized, _form_pattern(), 2)))
+    return F.coalesce(found, F.lit(""))
 
 
 def name_tokens(bare: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,22 +46,32 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def best_similarity(left, right) -> float:
-    """Best over pairs of name variants. A variant: (bare name, sorted tokens, whether its tokens identify)."""
+def written(variants: Column) -> Column:
+    """Variants of a name, an array of (bare, tokens, telling), as one text: the form in which they cross to Python."""
+    return F.array_join(F.transform(variants, lambda v: F.concat(v["bare"], F.lit("\t"), v["tokens"], F.lit("\t"), v["telling"].cast("string"))), "\n")
+
+
+@lru_cache(1 << 16)
+def _read(text: str) -> list[tuple[str, str, bool]]:
+    return [(bare, tokens, telling == "true") for bare, tokens, telling in (line.split("\t") for line in text.split("\n") if line)]
+
+
+def best_similarity(left: str, right: str) -> float:
+    """Best over pairs of variants of the ratio of bare names and, if both sides' tokens identify, that of token sets."""
     best = 0.0
-    for x in left:
-        for y in right:
-            best = max(best, indel_ratio(x["bare"], y["bare"]))
-            if x["telling"] and y["telling"]:
-                best = max(best, token_set_ratio(x["tokens"], y["tokens"]))
+    for bare_a, tokens_a, telling_a in _read(left):
+        for bare_b, tokens_b, telling_b in _read(right):
+            best = max(best, indel_ratio(bare_a, bare_b))
+            if telling_a and telling_b and best < 100:
+                best = max(best, token_set_ratio(tokens_a, tokens_b))
     return best
 
 
 def name_similarity(left: Column, right: Column) -> Column:
-    """0 to 100 for two columns of variants, arrays of (bare, tokens, telling)."""
+    """0 to 100 for two columns of written variants."""
 
-    @F.pandas_udf("double")
-    def best(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([best_similarity(x if x is not None else [], y if y is not None else []) for x, y in zip(a, b)], dtype="float64")
+    @F.arrow_udf("double")
+    def best(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([best_similarity(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
     return best(left, right)

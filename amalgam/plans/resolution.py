@@ -83,12 +83,12 @@ sized AS (SELECT *, count(*) OVER (PARTITION BY block) AS size FROM blocks)"""
 SELECT a.key AS key_a, b.key AS key_b, array_to_string(list_sort(list(DISTINCT a.kind)), ',') AS blocks FROM sized a JOIN sized b ON a.block = b.block AND a.key < b.key AND a.size <= 200
 JOIN names x ON x.key = a.key JOIN names y ON y.key = b.key WHERE x.source <> y.source OR (x.source = 'gleif' AND NOT (x.firm AND y.firm)) GROUP BY 1, 2""")
 def block_pairs(t):
-    return P.candidate_pairs(prepare(universe(t))).withColumn("blocks", F.array_join("blocks", ","))
+    return P.candidate_pairs(materialize(prepare(universe(t)), "prepared")).withColumn("blocks", F.array_join("blocks", ","))
 
 
 @query("J21", BLOCKS + " SELECT count(DISTINCT block) AS blocks, count(DISTINCT block) FILTER (WHERE size > 200) AS too_large FROM sized")
 def block_report(t):
-    return P.block_report(prepare(universe(t)))
+    return P.block_report(materialize(prepare(universe(t)), "prepared"))
 
 
 #: The pairs of the blocks with what they signal, without the similarity of names, which SQL can't express.

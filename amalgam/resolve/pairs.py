@@ -69,7 +69,7 @@ def identifier_pairs(records: DataFrame) -> DataFrame:
 
 
 def _sides(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
-    names = [c for c in prepared.columns if c not in ("names", "parts", "attributes", "token_df")]
+    names = [c for c in prepared.columns if c not in ("names", "parts", "variants", "attributes", "token_df", "rare_tokens")]
     side = lambda s: prepared.select(F.col("key").alias(f"key_{s}"), F.struct(*(c for c in names if c != "key")).alias(s))
     return pairs.join(side("a"), "key_a").join(side("b"), "key_b")
 
@@ -80,7 +80,7 @@ def signals(pairs: DataFrame, prepared: DataFrame, with_similarity: bool = True)
     hint = a["source"].isin(*HINT_SOURCES) | b["source"].isin(*HINT_SOURCES)
     apart = lambda f: (F.size(a[f]) > 0) & (F.size(b[f]) > 0) & ~overlaps(a[f], b[f])
     shared = F.when(overlaps(a["leis"], b["leis"]), "LEI").when(overlaps(a["ciks"], b["ciks"]), "CIK")
-    similarity = name_similarity(a["variants"], b["variants"]) if with_similarity else F.lit(None).cast("double")
+    similarity = name_similarity(a["written"], b["written"]) if with_similarity else F.lit(None).cast("double")
     both_register = (a["source"] == REGISTER) & (b["source"] == REGISTER)
     return _sides(pairs, prepared).select(
         *pairs.columns,

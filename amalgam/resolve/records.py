@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..expressions import let
 from ..functions.names import name_parts, normalize_name
+from ..functions.similarity import written
+from ..storage import materialize
 
 RECORD = (
     "key string, source string, source_id string, names array<string>, countries array<string>, city string, leis array<string>, "
@@ -79,7 +81,7 @@ def prepare(records: DataFrame) -> DataFrame:
     Word frequencies are joined to exploded words, so neither the vocabulary nor a record list is broadcast. Words in more than
     one record of ``HOT`` leave before that join; a record's frequencies don't list them.
     """
-    parted = with_name_parts(inherit_countries(records))
+    parted = materialize(with_name_parts(inherit_countries(records)), "parts")  # read by each of the statistics
     n = parted.agg(F.count(F.lit(1)).alias("n"))
     df = token_frequencies(parted)
     words = parted.select("key", F.explode(F.array_distinct(F.flatten("parts.tokens"))).alias("token"))
@@ -104,6 +106,7 @@ def prepare(records: DataFrame) -> DataFrame:
     number = lambda t: t.rlike("^[0-9]+$|^[IVXLC]{2,}$")
     return (
         out.withColumn("variants", F.array_distinct(F.transform(named, variant)))
+        .withColumn("written", written(F.col("variants")))
         .withColumn("firm_leis", firm_leis())
         .withColumn("firm_ciks", firm_ciks())
         .withColumn("numbers", F.array_sort(F.array_distinct(F.filter(main, number))))
