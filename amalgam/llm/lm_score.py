@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize
+from .common import arrow_rows, discard, materialize
 
 FREQUENT = 1 << 18
 MAX_BITS, BITS_PER_EVENT, PROBES, LEVELS = 1 << 28, 10, 3, 48
@@ -303,6 +303,7 @@ class Model:
         self.frequent = token[order], top.column("n").to_numpy()[order]
 
         pairs = materialize(partial.filter("seg >= 0").groupBy("seg").applyInArrow(_merged, "seg int, keys binary, levels binary, sizes array<long>"), "bigrams")
+        discard(partial)
         sizes = {r["level"]: r["v"] for r in pairs.select(F.posexplode("sizes").alias("level", "v")).groupBy("level").agg(F.sum("v").alias("v")).collect()}
         own = sum(r["level"] * r["v"] for r in by_level)
         events = lambda least: own + sum(k * v for k, v in sizes.items() if k >= least)
@@ -315,6 +316,7 @@ class Model:
         for seg, bits in zip(made.column("seg"), made.column("bits")):
             words[seg.as_py() * size : (seg.as_py() + 1) * size] = np.frombuffer(bits.as_buffer(), np.uint64)
         del made
+        discard(pairs)
         once, twice = (sum(r["v"] for r in by_level if r["level"] == 1), sum(r["v"] for r in by_level if r["fine"] == 8))
         discount = once / (once + 2 * twice) if once and twice else 0.5
         self.filter = Filter(words, segments, size, total, self.vocabulary, discount, start["n"] if start else 0)
