@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import component_of
+from ..storage import materialize
+from . import pairs as P
 from .pairs import ties
-from .records import REGISTER
+from .records import REGISTER, prepare
 
 # Sources by how much their record speaks for an entity, and by attribute whose value survives. Fixed values.
 ANCHOR_ORDER = ("gleif", "sec_edgar", "wikidata", "opensanctions", "gdelt")
@@ -70,7 +72,7 @@ def clusters(prepared: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFr
     nodes = component_of(prepared.select("key"), ranked, "key", "key_a", "key_b")
     side = lambda s: prepared.select(F.col("key").alias(f"key_{s}"), F.col("firm_leis").alias(f"leis_{s}"), F.col("firm_ciks").alias(f"ciks_{s}"))
     edges = ranked.join(side("a"), "key_a").join(side("b"), "key_b").join(nodes.select(F.col("key").alias("key_a"), "component"), "key_a")
-    passed = edges.groupBy("component").applyInPandas(join_in_order, "key_a string, key_b string, reason string")
+    passed = materialize(edges.groupBy("component").applyInPandas(join_in_order, "key_a string, key_b string, reason string"), "joined")
     joined = passed.filter("reason IS NULL").select(F.col("key_a").alias("__key"), F.col("key_b").alias("__root"))
     members = prepared.select("key").join(joined, F.col("key") == F.col("__key"), "left").select("key", F.coalesce("__root", "key").alias("cluster"))
     conflicts = passed.filter("reason IS NOT NULL").select("key_a", "key_b", F.lit("conflict").alias("kind"), "reason")
@@ -194,10 +196,6 @@ def integrity(records: DataFrame, membership: DataFrame, golden: DataFrame, deci
 
 def resolve(records: DataFrame, previous: DataFrame | None = None) -> dict[str, DataFrame]:
     """The whole run: prepared, decided, members, conflicts, review, ids, membership, golden."""
-    from ..storage import materialize
-    from . import pairs as P
-    from .records import prepare
-
     prepared = materialize(prepare(records), "prepared")
     found = P.candidate_pairs(prepared)
     by_id = P.identifier_pairs(prepared).withColumn("blocks", F.array(F.lit("identifier")))
