@@ -23,6 +23,9 @@ The base score needs exact counts. The most frequent tokens (at most ``FREQUENT`
 of all others meet the count table in a join, pre-aggregated per document. Tokens and bigrams are identified by 64-bit
 hashes.
 
+Intermediate tables are kept on the executors' disks and computed again where an executor is lost; those behind the returned
+rows stay until the cache is cleared.
+
 Null text counts as empty: its one token is the end. A null ``doc_id`` is learned from. With nothing to learn from,
 N = V = 0 and every base probability is 1. Empty table: no rows.
 """
@@ -39,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, discard, materialize
+from .common import arrow_rows, kept
 
 FREQUENT = 1 << 18
 MAX_BITS, BITS_PER_EVENT, PROBES, LEVELS = 1 << 28, 10, 3, 48
@@ -49,6 +52,8 @@ ROWS = 1000
 RATIOS = 256
 #: Tokens that are counted together before they leave a task.
 CHUNK = 2 << 20
+#: Keys in a row of a merged segment.
+ROW = 1 << 16
 #: Bigrams are told apart by 48 bits: fewer than one in ten thousand of 10^9 meet another, far below the filter's error.
 _KEY = np.uint64((1 << 48) - 1)
 #: Words have no white space, so these can't be words.
@@ -244,18 +249,19 @@ def _counted(segments: int):
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """One segment's bigrams with their levels, and how many of each level; rows of at most a million."""
+    """One segment's bigrams with their levels, and how many of each level; rows of at most ``ROW`` keys, which
+    the JVM's collector can still move."""
     read = lambda c: table.column(c).to_pylist()
     once, more = [_unpack(b) for b in read("once")], [_unpack(b) for b in read("more")]
     counts = [np.ones(sum(map(len, once)), np.uint32)] + [np.frombuffer(b, np.uint32) for b in read("counts")]
     keys, counts = _summed(np.concatenate(once + more), np.concatenate(counts))
     level = level_of(counts)
-    cuts = range(0, len(keys), 1 << 20)
+    cuts = range(0, len(keys), ROW)
     return pa.table({
         "seg": pa.array([table.column("seg")[0].as_py()] * len(cuts), pa.int32()),
-        "keys": pa.array([_pack(keys[a : a + (1 << 20)]) for a in cuts], pa.binary()),
-        "levels": pa.array([level[a : a + (1 << 20)].tobytes() for a in cuts], pa.binary()),
-        "sizes": pa.array([np.bincount(level[a : a + (1 << 20)], minlength=LEVELS + 1).tolist() for a in cuts], pa.list_(pa.int64())),
+        "keys": pa.array([_pack(keys[a : a + ROW]) for a in cuts], pa.binary()),
+        "levels": pa.array([level[a : a + ROW].tobytes() for a in cuts], pa.binary()),
+        "sizes": pa.array([np.bincount(level[a : a + ROW], minlength=LEVELS + 1).tolist() for a in cuts], pa.list_(pa.int64())),
     })
 
 
@@ -282,8 +288,8 @@ class Model:
     def __init__(self, docs: DataFrame):
         train = docs.filter(~held_out()).select("text")
         segments = max(32, 4 * docs.rdd.getNumPartitions())
-        partial = materialize(train.mapInArrow(_counted(segments), "seg int, h long, c long, once binary, more binary, counts binary"), "ngrams")
-        self.counts = materialize(partial.filter("seg < 0").groupBy(F.col("h").alias("token")).agg(F.sum("c").alias("n")), "tokens")
+        partial = kept(train.mapInArrow(_counted(segments), "seg int, h long, c long, once binary, more binary, counts binary"))
+        self.counts = kept(partial.filter("seg < 0").groupBy(F.col("h").alias("token")).agg(F.sum("c").alias("n")))
         level = F.floor(F.log2("n")).cast("int") + 1
         by_level = self.counts.groupBy(level.alias("level"), F.floor(F.log2("n") * 8).cast("int").alias("fine")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()
         self.vocabulary, self.n = sum(r["v"] for r in by_level), sum(r["n"] for r in by_level)
@@ -302,8 +308,8 @@ class Model:
         order = np.argsort(token)
         self.frequent = token[order], top.column("n").to_numpy()[order]
 
-        pairs = materialize(partial.filter("seg >= 0").groupBy("seg").applyInArrow(_merged, "seg int, keys binary, levels binary, sizes array<long>"), "bigrams")
-        discard(partial)
+        pairs = kept(partial.filter("seg >= 0").groupBy("seg").applyInArrow(_merged, "seg int, keys binary, levels binary, sizes array<long>"))
+        partial.unpersist()
         sizes = {r["level"]: r["v"] for r in pairs.select(F.posexplode("sizes").alias("level", "v")).groupBy("level").agg(F.sum("v").alias("v")).collect()}
         own = sum(r["level"] * r["v"] for r in by_level)
         events = lambda least: own + sum(k * v for k, v in sizes.items() if k >= least)
@@ -316,7 +322,7 @@ class Model:
         for seg, bits in zip(made.column("seg"), made.column("bits")):
             words[seg.as_py() * size : (seg.as_py() + 1) * size] = np.frombuffer(bits.as_buffer(), np.uint64)
         del made
-        discard(pairs)
+        pairs.unpersist()
         once, twice = (sum(r["v"] for r in by_level if r["level"] == 1), sum(r["v"] for r in by_level if r["fine"] == 8))
         discount = once / (once + 2 * twice) if once and twice else 0.5
         self.filter = Filter(words, segments, size, total, self.vocabulary, discount, start["n"] if start else 0)
@@ -393,7 +399,7 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<int>"
     with arrow_rows(docs.sparkSession, ROWS):
-        rated = materialize(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(rate, schema), "rated")
+        rated = kept(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(rate, schema))
     rare = rated.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("token"), F.col("t.times").alias("times"))
     met = rare.join(model.counts, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     log_all = float(np.log10(model.n + model.vocabulary + 1))
