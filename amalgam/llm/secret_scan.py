@@ -3,7 +3,9 @@ only.
 
 Patterns (``assign``, ``access``, ``hex``) are matched leftmost and without overlap, and their spans always stay. Besides,
 every run of ``LEAST`` or more characters of the base-64 alphabets that mixes letters with digits, or cases within the
-word, is a candidate. Its encoding is inferred as the smallest alphabet that holds it, and three tests measure it:
+word, is a candidate; = belongs to it as padding only. A run that holds characters of both base-64 alphabets is split into
+its longest parts of either, each a candidate. The encoding is inferred as the smallest alphabet that holds it, and three
+tests measure it:
 
 * chi-squared uniformity over that alphabet, against a text of the skew ``TEXT_SKEW``: the p-value is the probability
   that structured text of that length would look as even (normal form of the noncentral distribution);
@@ -14,7 +16,7 @@ word, is a candidate. Its encoding is inferred as the smallest alphabet that hol
 Short strings can't reach small p-values, so discoveries are controlled per length: within each class of lengths the
 Benjamini-Hochberg rule at ``RATE`` picks the p-value up to which candidates are reported, over all documents. P-values
 are rounded up to classes of half a power of two, so the counts that the rule needs are a small table however large the
-corpus. Reported spans that touch a pattern's span are left out.
+corpus. Reported spans that touch a pattern's span are left out, and those within a longer one.
 
 Positions are code points, the end exclusive. A null text is empty and has no spans; an empty table gives no rows.
 """
@@ -38,7 +40,9 @@ PATTERNS = (
 HINTS = {"assign": r"(?i)password|passwd|secret|token|api_?key", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
 
 LEAST, LONGEST, RATE, VETO = 20, 512, 0.01, 0.001
-CANDIDATE = r"[A-Za-z0-9+/_=-]+"
+CANDIDATE = r"[A-Za-z0-9+/_-]+={0,2}"
+#: What a run that no alphabet holds is split into.
+PARTS = (r"[A-Za-z0-9+/]+={0,2}", r"[A-Za-z0-9_-]+={0,2}")
 CANDIDATE_HINT = rf"[A-Za-z0-9+/_=-]{{{LEAST}}}"
 #: Alphabets by size; the first that holds a candidate is its encoding.
 ALPHABETS = (
@@ -158,7 +162,11 @@ def _stratum(n: Column) -> Column:
 def candidates(text: Column) -> Column:
     """array of (start, end, stratum, level) of the candidates that no veto drops; level: p <= 2^(-level/2)."""
     mixed = lambda h: h.rlike("[0-9]") & h.rlike("[A-Za-z]") | h.rlike("[A-Za-z].*[A-Z]") & h.rlike("[a-z]")
-    spans = F.filter(matches(text, CANDIDATE, 0, LEAST), lambda m: mixed(m["hit"]))
+    moved = lambda by: lambda p: F.struct((p["start"] + by).alias("start"), (p["end"] + by).alias("end"), p["hit"].alias("hit"))
+    parts = lambda m: F.array_distinct(F.concat(*(F.transform(matches(m["hit"], p, 0, LEAST), moved(m["start"])) for p in PARTS)))
+    whole = lambda m: _encoding(F.regexp_replace(m["hit"], "=+$", "")).isNotNull()
+    runs = F.flatten(F.transform(matches(text, CANDIDATE, 0, LEAST), lambda m: F.when(whole(m), F.array(m)).otherwise(parts(m))))
+    spans = F.filter(runs, lambda m: mixed(m["hit"]))
     rated = F.transform(
         spans,
         lambda m: let(
@@ -217,7 +225,9 @@ def scan(docs: DataFrame) -> DataFrame:
         reported = F.filter(
             "cands", lambda c: (c["level"] >= F.coalesce(least[c["stratum"]], F.lit(CLASSES + 1))) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
         )
-        added = F.transform(reported, _as_kind(len(PATTERNS)))
+        inside = lambda c, o: (o["start"] <= c["start"]) & (c["end"] <= o["end"]) & (o["end"] - o["start"] > c["end"] - c["start"])
+        longest = let(reported, lambda r: F.filter(r, lambda c: ~F.exists(r, lambda o: inside(c, o))))
+        added = F.transform(longest, _as_kind(len(PATTERNS)))
     else:
         added = F.array().cast(span)
     return found.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans"))

@@ -410,6 +410,17 @@ def test_random_strings_among_words(spark):
     assert sum("random" in got[i] for i in range(300)) <= 3
 
 
+def test_random_strings_glued_to_names_and_paths(spark):
+    rng = random.Random(6)
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    heads = ["DB_PASS=", "KEY=", "?sig=", "/my-app/some_dir/"]
+    rows = [(i, f"{heads[i % 4]}{''.join(rng.choices(b62, k=48))} here", None, None) for i in range(80)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, DOCS))).collect()}
+    for k, head in enumerate(heads):
+        ends = [str(len(head) + 48) == got[i].rpartition(":")[2] for i in range(k, 80, 4)]
+        assert sum(ends) >= 17, (head, got[k])
+
+
 # URLs
 
 
