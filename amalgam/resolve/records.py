@@ -6,6 +6,8 @@ tickers, domains, attributes (map for the golden record).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ MENTIONS = "gdelt"
 # Tokens that identify nobody, and those of funds. Fixed values.
 GENERIC_TOKENS = ("CONSORCIO", "CONSORTIUM", "JOINT", "UTE", "VENTURE")
 FUND_TOKENS = ("FCI", "FF", "FIDEICOMISO", "FONDO")
-#: A word in more records is neither rare nor makes a block, in a universe of any size that Spark is needed for.
+#: A word in more records makes no block; in a small universe it isn't rare either.
 FREQUENT = 1000
 #: A key is hot if it has more than one in so many of all rows.
 HOT = 1000
@@ -68,24 +70,24 @@ def token_frequencies(records: DataFrame) -> DataFrame:
     return records.select(F.explode(F.array_distinct(F.flatten("parts.tokens"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def without_hot(rows: DataFrame, key: str, sizes: DataFrame, total: DataFrame, least: int) -> DataFrame:
-    """``rows`` without those of keys with more than ``least`` rows and more than one of ``HOT`` of ``total``. Such keys are few
+def without_hot(rows: DataFrame, key: str, sizes: DataFrame, total: DataFrame, least: int, share: float = HOT) -> DataFrame:
+    """``rows`` without those of keys with more than ``least`` rows and more than one of ``share`` of ``total``. Such keys are few
     whatever the input (their rows add up), so they are broadcast and their rows never shuffled."""
-    hot = sizes.join(F.broadcast(total.toDF("__total"))).filter((F.col("size") > least) & (F.col("size") > F.col("__total") / HOT)).select(key)
+    hot = sizes.join(F.broadcast(total.toDF("__total"))).filter((F.col("size") > least) & (F.col("size") > F.col("__total") / share)).select(key)
     return rows.join(F.broadcast(hot), key, "left_anti")
 
 
 def prepare(records: DataFrame) -> DataFrame:
     """Everything that a pair's signals need of each side: inherited countries, firm identifiers, variants of names.
 
-    Word frequencies are joined to exploded words, so neither the vocabulary nor a record list is broadcast. Words in more than
-    one record of ``HOT`` leave before that join; a record's frequencies don't list them.
+    Word frequencies are joined to exploded words, so neither the vocabulary nor a record list is broadcast. Words too
+    frequent to be rare or to make a block leave before that join; a record's frequencies don't list them.
     """
     parted = materialize(with_name_parts(inherit_countries(records)), "parts")  # read by each of the statistics
     n = parted.agg(F.count(F.lit(1)).alias("n"))
     df = token_frequencies(parted)
     words = parted.select("key", F.explode(F.array_distinct(F.flatten("parts.tokens"))).alias("token"))
-    words = without_hot(words, "token", df.withColumnRenamed("df", "size"), n, FREQUENT).join(df, "token").join(F.broadcast(n))
+    words = without_hot(words, "token", df.withColumnRenamed("df", "size"), n, FREQUENT, math.exp(RARE_IDF)).join(df, "token").join(F.broadcast(n))
     per = words.groupBy("key").agg(
         F.collect_set(F.when(F.log(F.col("n") / F.col("df")) >= RARE_IDF, F.col("token"))).alias("rare_tokens"),
         F.map_from_entries(F.collect_set(F.struct("token", "df"))).alias("token_df"),

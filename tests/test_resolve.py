@@ -154,3 +154,12 @@ def test_quality(spark):
     v = Q.verdict(Q.run_checks(df, checks)).first()
     assert v["state"] == "quarantined" and v["critical_failures"] == ["missing gone", "missing k"] and v["warnings"] == ["fresh n", "range n", "schema"]
     assert Q.verdict(Q.run_checks(df.filter("false"), [Q.not_missing("k"), Q.unique(["k"])])).first()["state"] == "approved"
+
+
+def test_words_of_large_universes_stay_rare(spark, monkeypatch):
+    """Words above the bound of frequent ones, in a universe where the rule calls them rare."""
+    monkeypatch.setattr("amalgam.resolve.records.FREQUENT", 1)
+    records = [record("opensanctions", f"r{i}", ["ZYXW" if i < 3 else f"FILLER{i} COMMON"]) for i in range(1000)]
+    got = {r["key"]: r for r in prepare(frame(spark, records)).select("key", "rare_tokens", "variants").filter("source_id in ('r0', 'r5')").collect()}
+    assert got["opensanctions:r0"]["rare_tokens"] == ["ZYXW"] and got["opensanctions:r0"]["variants"][0]["telling"]
+    assert got["opensanctions:r5"]["rare_tokens"] == ["FILLER5"]
