@@ -1,10 +1,10 @@
 """Layout-aware text of HTML pages.
 
-A tree is built with the tags that HTML implies (body, p, li, dt, dd, option, tbody, tr, td and their ends; text
+A tree is built with the tags that HTML implies (body, p, li, dt, dd, option, tbody, tr, td and their ends, that of colgroup; text
 misplaced in a table goes before it), then rendered: each block starts a line, blocks with margins keep one blank line
 around them, list items carry their bullet or number and indentation, and the cells of a table are set in columns.
 Everything visible is emitted, navigation and advertisements too. Invisible are: head, script, style, template, noscript
-and the fallback of embedded media; the attribute ``hidden``; ``display:none`` and inherited ``visibility:hidden`` of
+and the fallback of embedded media; what svg and math only define or describe; the attribute ``hidden``; ``display:none`` and inherited ``visibility:hidden`` of
 style attributes and of rules with a simple selector in the page's own style sheets; closed ``details`` but their summary;
 closed ``dialog``; all but the chosen option of a drop-down list.
 
@@ -30,7 +30,9 @@ PAD, DEPTH, NESTING, GAP = 80, 12, 256, "  "
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes audio video canvas object datalist map svg math".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes audio video canvas object datalist map".split())
+#: Not shown inside svg or math.
+FOREIGN_UNSEEN = frozenset("annotation annotation-xml defs desc metadata symbol".split())
 PARAGRAPHS = frozenset("blockquote center dir dl figure form h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul fieldset xmp listing".split())
 LINES = frozenset(
     "address article aside body caption dd details dialog div dt fieldset figcaption footer header hgroup html legend li main nav optgroup section summary".split()
@@ -95,6 +97,8 @@ class Builder:
                 return
             self.leave_head()
         data = html.unescape(raw) if "&" in raw else raw
+        if self.stack[-1].tag == "colgroup" and not raw.isspace():
+            self.stack.pop()
         top = self.stack[-1]
         if top.tag in TABLE_PARTS:
             if not raw.isspace():
@@ -126,6 +130,11 @@ class Builder:
             return
         if self.stack[1] is self.head and tag not in IN_HEAD:
             self.leave_head()
+        foreign = any(n.tag in ("svg", "math") for n in self.stack)
+        if foreign and tag in FOREIGN_UNSEEN:
+            attrs = attrs | {"hidden": ""}
+        if self.stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self.stack.pop()
         if tag in IMPLIED_ENDS:
             self.close(*IMPLIED_ENDS[tag])
         if tag in CLOSES_P:
@@ -151,7 +160,7 @@ class Builder:
         if len(self.stack) > NESTING:
             self.stack.pop()
         self.stack[-1].children.append(node)
-        if tag not in VOID and not (closed and tag in ("svg", "math", "path")):
+        if tag not in VOID and not (closed and (foreign or tag in ("svg", "math", "path"))):
             self.stack.append(node)
 
     def imply(self, inside: str, tag: str) -> None:

@@ -63,3 +63,13 @@ def test_all_words_of_the_pages():
         marks = page_text(page)[1].replace("\n- ", "\n")
         marks = marks[2:] if marks.startswith("- ") else marks
         assert plain(marks) == plain("".join(other.words))
+
+
+@pytest.mark.parametrize("rest", ["<tr><td>a<td>b", "<tbody><tr><td>a<td>b", "<thead><tr><th>a<th>b", "<td>a<td>b", "</colgroup><tr><td>a<td>b"])
+def test_colgroup_without_its_end(rest):
+    assert page_text(f"<table><colgroup><col><col>{rest}</table>c")[1] == "a  b\n\nc"
+    assert page_text(f"<table><colgroup><col>x{rest}</table>")[1] == "x\n\na  b"
+
+
+def test_svg_and_math_text():
+    assert page_text("<p>a <svg><title>t</title><desc>d</desc><defs/><circle r=1 /><text>b</text></svg> <math><mi>x</mi><annotation>no</annotation></math> c")[1] == "a b x c"
