@@ -24,12 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, **options) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and a lost executor
-    costs a read of that file instead of the steps before it."""
+    costs a read of that file instead of the steps before it. ``options``: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._amalgam_path = path
     return back
