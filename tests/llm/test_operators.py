@@ -353,19 +353,81 @@ def test_base_scores_and_better_model(spark, sample):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) and sum(r["score"] > r["base_score"] for r in out) > 0.9 * len(out)
 
 
+def brute_model(texts, learned):
+    """Log probabilities of texts by the same formulas, from dictionaries of counts; and p(w | v)."""
+    level = lambda n: min(n.bit_length(), lm_score.LEVELS)
+    tokens = [[*(t or "").encode().lower().split(), None] for t in texts]
+    one: dict = {}
+    two: dict = {}
+    for words, train in zip(tokens, learned):
+        for v, w in zip(["start", *words], words) if train else ():
+            one[w] = one.get(w, 0) + 1
+            two[v, w] = two.get((v, w), 0) + 1
+    middle = lambda n: (2 ** (level(n) - 1) + 2 ** level(n) - 1) / 2
+    total = sum(map(middle, one.values()))
+    once, twice = (sum(n == k for n in one.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice)
+    alone = lambda w: (middle(one[w]) - discount if w in one else discount * len(one)) / total
+    starts = one[None]
+    prior = lambda v: starts if v == "start" else 2 ** level(one.get(v, 0)) - 1
+    prior_level = lambda v: level(starts if v == "start" else one.get(v, 0))
+    both = lambda v, w: min(2 ** (level(two[v, w]) - 1), prior(v)) if (v, w) in two else 0
+    n = np.zeros((lm_score.LEVELS + 1) * lm_score.RATIOS)
+    for words, train in zip(tokens, learned):
+        for v, w in zip(["start", *words], words) if train else ():
+            own = max(both(v, w) - 1, 0) / max(prior(v) - 1, 1)
+            half = lm_score.RATIOS // 2
+            cls = half + (min(max(round(4 * math.log2(own / alone(w))), 1 - half), half - 1) if own else -half)
+            n[prior_level(v) * lm_score.RATIOS + cls] += 1
+    weights = lm_score.fit_weights(n)
+    p = lambda v, w: weights[prior_level(v)] * both(v, w) / max(prior(v), 1) + (1 - weights[prior_level(v)]) * alone(w)
+    return [sum(math.log10(p(v, w)) for v, w in zip(["start", *words], words)) for words in tokens], p, one, two, discount * len(one) / total
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 250_000, 0])
+def test_scores_are_those_of_counts(spark, monkeypatch, bits):
+    """All of the filter broadcast, a part of it, and none of it; in many small chunks."""
+    for name, value in {"MAX_BITS": bits, "BITS_PER_EVENT": 100, "LEAST_SEGMENTS": 7}.items():
+        monkeypatch.setattr(lm_score, name, value)
+    docs = common.documents(spark, "/root/testdata/sf0.001").repartition(5)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = sorted(texts)
+    want, *_ = brute_model([texts[i] for i in ids], [zlib.crc32(str(i).encode()) % 7 != 2 for i in ids])
+    model = lm_score.Model(lm_score.encode(docs))
+    assert (model.rest is None) == (bits == 1 << 27) and (model.cut > 10) == (bits == 0)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs).collect()}
+    # false positives of the filter, rare at 100 bits, change some tokens' probabilities and with them the weights a little
+    off = [abs(got[i] - w) for i, w in zip(ids, want)]
+    assert sum(x <= 0.002 * abs(w) for x, w in zip(off, want)) >= 0.95 * len(ids) and sum(off) <= 2e-3 * -sum(want)
+
+
+def test_probabilities_sum_to_one_at_most(spark):
+    """Also after a word whose successors all have counts that their level's middle is above."""
+    texts = [f"{'seven ' * (i < 7)}w{i}" for i in range(9)] + ["b c", "b d", "b c"] * 3
+    _, p, one, two, unknown = brute_model(texts, [True] * len(texts))
+    for v in ["start", *one]:
+        whole = sum(p(v, w) for w in one) + p(v, "never seen")
+        assert 0.2 < whole <= 1 + 1e-9, v
+    assert math.isclose(sum(p(b"never", w) for w in one) + unknown, 1)
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(0)
-    g, level = rng.integers(0, 1 << 48, 20_000).astype(np.uint64), rng.integers(1, 6, 20_000)
-    segments, size = 8, int(level.sum()) * lm_score.BITS_PER_EVENT // 64 // 8 + 1
-    words = np.zeros(segments * size, np.uint64)
-    for s in range(segments):
-        mine = lm_score._segment(g, segments) == s
-        table = pa.table({"seg": [s], "keys": [lm_score._pack(g[mine])], "levels": [level[mine].astype(np.uint8).tobytes()], "every": [True]})
-        words[s * size : (s + 1) * size] = np.frombuffer(lm_score._filled(size, 1)(table).column("bits")[0].as_py(), np.uint64)
-    f = lm_score.Filter(words, segments, size, 1.0, 1, 0.5, 1)
-    assert (f.levels(g) >= level).all() and (f.levels(g) == level).mean() > 0.9
-    assert (f.levels(rng.integers(0, 1 << 48, 20_000).astype(np.uint64)) > 0).mean() < 0.06
-    assert (lm_score.estimate(lm_score.level_of(np.array([1, 2, 3, 4, 7, 8]))) == [1, 2.5, 2.5, 5.5, 5.5, 11.5]).all()
+    g, level = np.sort(rng.integers(0, 1 << 48, 20_000).astype(np.uint64)), rng.integers(1, 6, 20_000).astype(np.uint8)
+    segments = 8
+    rows = [{"seg": s, "keys": lm_score._pack(g[a:b]), "levels": level[a:b].tobytes()} for s, a, b in lm_score._by_segment(g, segments)]
+    size = int(level.sum()) * lm_score.BITS_PER_EVENT // 64 // segments + 1
+    for cut in (1, 3, 9):
+        parts = {1: np.zeros((segments, size), np.uint64), 2: np.zeros((segments, size), np.uint64)}
+        for batch in lm_score._filled(cut, size, size)(pa.RecordBatch.from_pylist([r]) for r in rows):
+            for r in batch.to_pylist():
+                parts[r["part"]][r["seg"]] |= np.frombuffer(r["bits"], np.uint64)
+        for part, mine in ((1, level >= cut), (2, level < cut)):
+            got = lm_score.probe(parts[part].reshape(-1), segments, g[mine])
+            assert (got >= level[mine]).all() and (got == level[mine]).mean() > 0.95 if mine.any() else not parts[part].any()
+        assert (lm_score.probe(parts[1].reshape(-1), segments, rng.integers(0, 1 << 48, 20_000).astype(np.uint64)) > 0).mean() < 0.03
+    levels = lm_score.level_of(np.array([1, 2, 3, 4, 7, 8]))
+    assert [*lm_score.estimate(levels)] == [1, 2.5, 2.5, 5.5, 5.5, 11.5] and [*lm_score.least(levels)] == [1, 2, 2, 4, 4, 8] and [*lm_score.most(levels)] == [1, 3, 3, 7, 7, 15]
 
 
 def test_empty_training(spark):
