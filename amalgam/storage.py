@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether the shuffle files of a query are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share.
@@ -26,10 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str, **options) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and a lost executor
-    costs a read of that file instead of the steps before it. ``options``: of the writer."""
+    costs a read of that file instead of the steps before it. The shuffle files of those steps go at once. ``options``: of
+    the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._amalgam_path = path
     return back
