@@ -188,14 +188,15 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(key: np.ndarray) -> bytes:
-    """The low 48 bits of each key."""
-    return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Sorted keys of 48 bits as the steps between them, byte by byte: the upper bytes are mostly 0 and take no room."""
+    steps = np.diff(key, prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
     out = np.zeros((len(packed) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(np.uint64)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(6, -1).T
+    return np.cumsum(out.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
 class Chunk:
@@ -232,6 +233,9 @@ class Chunk:
         return np.concatenate([unigram_keys(self.words), bigram_keys(np.append(self.words, START)[v], self.words[w])]), of
 
 
+COLUMNS = [c.split()[0] for c in Chunk.COLUMNS.split(", ")]
+
+
 def _encoded(kind: pa.DataType):
     """Turns documents (doc_id, held_out, text) into chunks."""
 
@@ -402,7 +406,7 @@ class Model:
     def __init__(self, chunks: DataFrame):
         spark = chunks.sparkSession
         with _blobs(spark):
-            words = chunks.select(*(c.split()[0] for c in Chunk.COLUMNS.split(", "))).mapInArrow(_word_counts, "token long, n long")
+            words = chunks.select(COLUMNS).mapInArrow(_word_counts, "token long, n long")
             self.counts = materialize(words.groupBy("token").agg(F.sum("n").alias("n")), "counts")
             by_level = self.counts.groupBy((F.floor(F.log2("n")).cast("int") + 1).alias("level"), F.floor(F.log2("n") * 8).cast("int").alias("fine")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()
             self.vocabulary, self.n = sum(r["v"] for r in by_level), sum(r["n"] for r in by_level)
@@ -414,10 +418,9 @@ class Model:
             different = chunks.select(F.explode("sample").alias("g")).agg(F.approx_count_distinct("g")).first()[0] * SAMPLED
             self.segments = segments = max(LEAST_SEGMENTS, -(-different // SEGMENT))
 
-            columns = [c.split()[0] for c in Chunk.COLUMNS.split(", ")]
-            parts = chunks.select(columns).mapInArrow(_gram_counts(segments), "seg int, keys binary, counts binary")
+            parts = chunks.select(COLUMNS).mapInArrow(_gram_counts(segments), "seg int, keys binary, counts binary")
             merged = parts.repartition("seg").sortWithinPartitions("seg").mapInArrow(_merged, "seg int, keys binary, levels binary, sizes array<long>")
-            grams = materialize(merged, "grams")
+            grams = materialize(merged, "grams", compression="zstd")
             sizes = {r["level"]: r["v"] for r in grams.select(F.posexplode("sizes").alias("level", "v")).groupBy("level").agg(F.sum("v").alias("v")).collect()}
             events = lambda low, high: sum(k * v for k, v in sizes.items() if low <= k < high)
             self.cut = cut = next(k for k in range(1, LEVELS + 2) if events(k, LEVELS + 1) <= MAX_BITS // BITS_PER_EVENT)
@@ -498,31 +501,19 @@ def fit_weights(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _probed(shared, segments: int, routed: bool):
-    """Chunks with the levels that the broadcast part of the filter gives their n-grams (seg is -1), and with ``routed`` rows
-    (chunk, seg, keys) of the n-grams that it doesn't hold."""
+def _sent(shared, segments: int):
+    """Turns chunks into rows (chunk, seg, keys): the n-grams that the broadcast part of the filter doesn't hold."""
 
     def run(batches):
         filter_ = shared.value[0]
-        for batch in batches:
-            for i, row in enumerate(_rows([batch])):
-                part = batch.slice(i, 1)
-                c = Chunk.read(row)
-                keys, _ = c.grams()
-                levels = probe(filter_, segments, keys)
-                nulls = lambda name, n: pa.nulls(n, part.schema.field(name).type)
-                own = [f for f in part.schema.names if f != "chunk"]
-                yield pa.record_batch({
-                    "chunk": part.column("chunk"), "seg": pa.array([-1], pa.int32()), **{f: part.column(f) for f in own},
-                    "levels": pa.array([levels.tobytes()], pa.binary()), "keys": pa.nulls(1, pa.binary()),
-                })
-                if routed:
-                    left = np.unique(keys[levels == 0])
-                    parts = [*_by_segment(left, segments)]
-                    yield pa.record_batch({
-                        "chunk": pa.array([row["chunk"]] * len(parts), pa.int64()), "seg": pa.array([s for s, *_ in parts], pa.int32()), **{f: nulls(f, len(parts)) for f in own},
-                        "levels": pa.nulls(len(parts), pa.binary()), "keys": pa.array([_pack(left[a:b]) for _, a, b in parts], pa.binary()),
-                    })
+        for row in _rows(batches):
+            keys, _ = Chunk.read(row).grams()
+            left = np.unique(keys[probe(filter_, segments, keys) == 0])
+            parts = [*_by_segment(left, segments)]
+            yield pa.record_batch({
+                "chunk": pa.array([row["chunk"]] * len(parts), pa.int64()), "seg": pa.array([s for s, *_ in parts], pa.int32()),
+                "keys": pa.array([_pack(left[a:b]) for _, a, b in parts], pa.binary()),
+            })
 
     return run
 
@@ -546,8 +537,9 @@ def _answers(size: int):
     return run
 
 
-def _resolved(numbers: Numbers):
-    """Turns rows of a chunk, sorted by segment after the chunk itself, into the chunk with all levels and its ``ratios``."""
+def _resolved(shared, numbers: Numbers):
+    """Turns chunks (seg is -1), each followed by the answers to its probes by segment, into the chunks with the levels of
+    their n-grams and their ``ratios``."""
 
     def run(batches):
         held, row, answers = None, None, []
@@ -555,7 +547,7 @@ def _resolved(numbers: Numbers):
         def flush():
             c = Chunk.read(row)
             keys, of = c.grams()
-            levels = np.frombuffer(row["levels"], np.uint8).copy()
+            levels = probe(shared.value[0], numbers.segments, keys)
             if answers:
                 left = np.flatnonzero(levels == 0)
                 levels[left] = np.frombuffer(b"".join(answers), np.uint8)[np.unique(keys[left], return_inverse=True)[1]]
@@ -583,29 +575,17 @@ def _resolved(numbers: Numbers):
 
 def resolve(chunks: DataFrame, model: Model) -> DataFrame:
     """A table of the chunks with the levels of their n-grams; columns at and times: their ``ratios``."""
-    spark = chunks.sparkSession
-    columns = ["chunk", "ids", *(c.split()[0] for c in Chunk.COLUMNS.split(", "))]
     ids = dict(chunks.dtypes)["ids"]
-    body = f"chunk long, seg int, ids {ids}, {Chunk.COLUMNS}, levels binary"
-    with _blobs(spark):
-        routed = model.rest is not None
-        probed = chunks.select(columns).mapInArrow(_probed(model.shared, model.segments, routed), f"{body}, keys binary")
-        names = [c.split()[0] for c in body.split(", ")]
-        if routed:
-            probed = materialize(probed, "probed", compression="zstd")
-            sent = probed.filter("seg >= 0").select("seg", F.lit(1).alias("part"), "chunk", "keys")
+    with _blobs(chunks.sparkSession):
+        rows = chunks.select("chunk", F.lit(-1).alias("seg"), "ids", *COLUMNS, F.lit(None).cast("binary").alias("levels"))
+        if model.rest is not None:
+            sent = chunks.select("chunk", *COLUMNS).mapInArrow(_sent(model.shared, model.segments), "chunk long, seg int, keys binary").withColumn("part", F.lit(1))
             bits = model.rest.select("seg", F.lit(0).alias("part"), F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("keys"))
-            met = sent.unionByName(bits).repartition("seg").sortWithinPartitions("seg", "part")
+            met = sent.select(bits.columns).unionByName(bits).repartition("seg").sortWithinPartitions("seg", "part")
             answers = met.mapInArrow(_answers(model.rest_words), "chunk long, seg int, levels binary")
-            own = probed.filter("seg < 0").select(names)
-            rows = own.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "seg")
-        else:
-            rows = probed.select(names)
-        whole = rows.mapInArrow(_resolved(model.numbers()), f"chunk long, ids {ids}, {Chunk.COLUMNS}, levels binary, at array<int>, times array<long>")
-        out = materialize(whole, "resolved", compression="zstd")
-        if routed:
-            discard(probed)
-    return out
+            rows = rows.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "seg")
+        whole = rows.mapInArrow(_resolved(model.shared, model.numbers()), f"chunk long, ids {ids}, {Chunk.COLUMNS}, levels binary, at array<int>, times array<long>")
+        return materialize(whole, "resolved", compression="zstd")
 
 
 def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -649,7 +629,7 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<int>"
     with _blobs(spark):
-        rated = materialize(resolved.select("chunk", "ids", *(c.split()[0] for c in Chunk.COLUMNS.split(", ")), "levels").mapInArrow(rate, schema), "rated")
+        rated = materialize(resolved.select("chunk", "ids", *COLUMNS, "levels").mapInArrow(rate, schema), "rated")
     discard(resolved)
     rare = rated.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row", F.col("t.rare").alias("token"), F.col("t.times").alias("times"))
     met = rare.join(model.counts, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
