@@ -56,11 +56,11 @@ FREQUENT = 1 << 18
 MAX_BITS = 1 << 27
 BITS_PER_EVENT, PROBES, LEVELS = 12, 4, 48
 #: Documents that a task takes in at once, and rows that hold parts of a chunk.
-ROWS, BLOBS = 1000, 16
+ROWS, BLOBS = 1000, 2
 #: Classes of the ratio of the two probabilities that the weights are fitted on, 4 to a doubling around 1; the first: 0.
 RATIOS = 256
 #: Tokens of a chunk, n-grams that are counted together before they leave a task, and n-grams of a segment, about.
-CHUNK, COMBINED, SEGMENT = 1 << 20, 1 << 22, 1 << 22
+CHUNK, COMBINED, SEGMENT = 1 << 20, 3 << 19, 1 << 22
 #: Segments, at least.
 LEAST_SEGMENTS = 32
 #: Keys in a row of a merged segment.
@@ -199,6 +199,9 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(out.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
+_ZSTD = pa.Codec("zstd")
+
+
 class Chunk:
     """Some documents: where each ends, the hashes of their words, and the tokens as places among those."""
 
@@ -210,15 +213,17 @@ class Chunk:
 
     @staticmethod
     def read(row: dict) -> Chunk:
-        at = np.frombuffer(row["low"], np.uint16) + (np.frombuffer(row["high"], np.uint16).astype(np.uint32) << np.uint32(16))
-        return Chunk(np.array(row["held"], bool), np.frombuffer(row["ends"], np.int64), np.frombuffer(row["words"], np.uint64), at)
+        ends = np.frombuffer(row["ends"], np.int64)
+        low, high = (np.frombuffer(_ZSTD.decompress(row[half], 2 * int(ends[-1])), np.uint16) for half in ("low", "high"))
+        return Chunk(np.array(row["held"], bool), ends, np.frombuffer(row["words"], np.uint64), low + (high.astype(np.uint32) << np.uint32(16)))
 
     def columns(self) -> dict:
-        """The halves of a place apart: words stand by how often they occur, so most upper halves are 0."""
+        """Places are compressed here: the rows are written and sent more than once."""
+        half = lambda x: pa.array([_ZSTD.compress(x.astype(np.uint16).tobytes(), asbytes=True)], pa.binary())
         return {
             "held": pa.array([self.held.tolist()], pa.list_(pa.bool_())), "ends": pa.array([self.ends.astype(np.int64).tobytes()], pa.binary()),
-            "words": pa.array([self.words.tobytes()], pa.binary()), "low": pa.array([(self.at & 0xFFFF).astype(np.uint16).tobytes()], pa.binary()),
-            "high": pa.array([(self.at >> 16).astype(np.uint16).tobytes()], pa.binary()),
+            "words": pa.array([self.words.tobytes()], pa.binary()),
+            "low": half(self.at & 0xFFFF), "high": half(self.at >> 16),
         }
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +284,7 @@ def encode(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     arrow = rows.select("doc_id").limit(0).toArrow().schema.field(0).type
     with arrow_rows(docs.sparkSession, ROWS):
-        return materialize(rows.mapInArrow(_encoded(arrow), f"chunk long, n long, sample array<long>, ids array<{kind}>, {Chunk.COLUMNS}"), "chunks", compression="zstd")
+        return materialize(rows.mapInArrow(_encoded(arrow), f"chunk long, n long, sample array<long>, ids array<{kind}>, {Chunk.COLUMNS}"), "chunks")
 
 
 def _rows(batches):
@@ -408,16 +413,17 @@ class Model:
         with _blobs(spark):
             words = chunks.select(COLUMNS).mapInArrow(_word_counts, "token long, n long")
             self.counts = materialize(words.groupBy("token").agg(F.sum("n").alias("n")), "counts")
-            by_level = self.counts.groupBy((F.floor(F.log2("n")).cast("int") + 1).alias("level"), F.floor(F.log2("n") * 8).cast("int").alias("fine")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()
-            self.vocabulary, self.n = sum(r["v"] for r in by_level), sum(r["n"] for r in by_level)
-            once, twice = (sum(r["v"] for r in by_level if r["level"] == 1), sum(r["v"] for r in by_level if r["fine"] == 8))
-            start = self.counts.filter(F.col("token") == int(END.view(np.int64))).first()
-            self.total = sum(float(estimate(np.array([r["level"]]))[0]) * r["v"] for r in by_level)
-            self.discount = once / (once + 2 * twice) if once and twice else 0.5
-            self.starts, self.weights = start["n"] if start else 0, None
-            different = chunks.select(F.explode("sample").alias("g")).agg(F.approx_count_distinct("g")).first()[0] * SAMPLED
-            self.segments = segments = max(LEAST_SEGMENTS, -(-different // SEGMENT))
+        by_level = self.counts.groupBy((F.floor(F.log2("n")).cast("int") + 1).alias("level"), F.floor(F.log2("n") * 8).cast("int").alias("fine")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()
+        self.vocabulary, self.n = sum(r["v"] for r in by_level), sum(r["n"] for r in by_level)
+        once, twice = (sum(r["v"] for r in by_level if r["level"] == 1), sum(r["v"] for r in by_level if r["fine"] == 8))
+        start = self.counts.filter(F.col("token") == int(END.view(np.int64))).first()
+        self.total = sum(float(estimate(np.array([r["level"]]))[0]) * r["v"] for r in by_level)
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
+        self.starts, self.weights = start["n"] if start else 0, None
+        different = chunks.select(F.explode("sample").alias("g")).agg(F.approx_count_distinct("g")).first()[0] * SAMPLED
+        self.segments = segments = max(LEAST_SEGMENTS, -(-different // SEGMENT))
 
+        with _blobs(spark):
             parts = chunks.select(COLUMNS).mapInArrow(_gram_counts(segments), "seg int, keys binary, counts binary")
             merged = parts.repartition("seg").sortWithinPartitions("seg").mapInArrow(_merged, "seg int, keys binary, levels binary, sizes array<long>")
             grams = materialize(merged, "grams", compression="zstd")
@@ -427,15 +433,14 @@ class Model:
             first, rest = (n * BITS_PER_EVENT // segments // 64 + 1 for n in (events(cut, LEVELS + 1), events(0, cut)))  # words of a segment
             bits = materialize(grams.select("seg", "keys", "levels").mapInArrow(_filled(cut, first, rest), "part int, seg int, bits binary"), "bits")
             discard(grams)
-            made = np.zeros((segments, first), np.uint64)
-            held = bits.filter("part = 1").select("seg", "bits").toArrow()  # MAX_BITS / 8 bytes, and what segments in several tasks add
-            for seg, words in zip(held.column("seg").to_pylist(), held.column("bits")):
-                made[seg] |= np.frombuffer(words.as_buffer(), np.uint64)
-            del held
-            self.rest = bits.filter("part = 2").select("seg", "bits") if cut > 1 else None
-            self.rest_words = rest
-            if cut == 1:
-                discard(bits)
+        made = np.zeros((segments, first), np.uint64)
+        held = bits.filter("part = 1").select("seg", "bits").toArrow()  # MAX_BITS / 8 bytes, and what segments in several tasks add
+        for seg, words in zip(held.column("seg").to_pylist(), held.column("bits")):
+            made[seg] |= np.frombuffer(words.as_buffer(), np.uint64)
+        del held
+        self.rest, self.rest_words = bits.filter("part = 2").select("seg", "bits") if cut > 1 else None, rest
+        if cut == 1:
+            discard(bits)
 
         # tokens as frequent as the last class of counts that leaves room for all
         room, fine = FREQUENT, None
@@ -518,7 +523,21 @@ def _sent(shared, segments: int):
     return run
 
 
-def _answers(size: int):
+def _pack_levels(level: np.ndarray, below: int) -> bytes:
+    """Levels below ``below``, bit by bit, after how many they are."""
+    planes = [np.packbits(level >> np.uint8(b) & np.uint8(1)).tobytes() for b in range((below - 1).bit_length())]
+    return len(level).to_bytes(8, "little") + b"".join(planes)
+
+
+def _unpack_levels(packed: bytes, below: int) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    out, size = np.zeros(n, np.uint8), -(-n // 8)
+    for b in range((below - 1).bit_length()):
+        out |= np.unpackbits(np.frombuffer(packed, np.uint8, size, 8 + b * size), count=n) << np.uint8(b)
+    return out
+
+
+def _answers(size: int, cut: int):
     """Turns rows (seg, part, chunk, keys), sorted by segment and then part (0: the bits of the filter, 1: probes), into
     (chunk, seg, levels)."""
 
@@ -531,13 +550,13 @@ def _answers(size: int):
                 words |= np.frombuffer(row["keys"], np.uint64)
             else:
                 yield pa.record_batch({
-                    "chunk": pa.array([row["chunk"]], pa.int64()), "seg": pa.array([seg], pa.int32()), "levels": pa.array([probe(words, 1, _unpack(row["keys"])).tobytes()], pa.binary())
+                    "chunk": pa.array([row["chunk"]], pa.int64()), "seg": pa.array([seg], pa.int32()), "levels": pa.array([_pack_levels(np.minimum(probe(words, 1, _unpack(row["keys"])), cut - 1), cut)], pa.binary())
                 })
 
     return run
 
 
-def _resolved(shared, numbers: Numbers):
+def _resolved(shared, numbers: Numbers, cut: int):
     """Turns chunks (seg is -1), each followed by the answers to its probes by segment, into the chunks with the levels of
     their n-grams and their ``ratios``."""
 
@@ -550,7 +569,7 @@ def _resolved(shared, numbers: Numbers):
             levels = probe(shared.value[0], numbers.segments, keys)
             if answers:
                 left = np.flatnonzero(levels == 0)
-                levels[left] = np.frombuffer(b"".join(answers), np.uint8)[np.unique(keys[left], return_inverse=True)[1]]
+                levels[left] = np.concatenate([_unpack_levels(a, cut) for a in answers])[np.unique(keys[left], return_inverse=True)[1]]
             n = numbers.ratios(c, of, levels)
             there = np.flatnonzero(n)
             return pa.record_batch({
@@ -582,9 +601,9 @@ def resolve(chunks: DataFrame, model: Model) -> DataFrame:
             sent = chunks.select("chunk", *COLUMNS).mapInArrow(_sent(model.shared, model.segments), "chunk long, seg int, keys binary").withColumn("part", F.lit(1))
             bits = model.rest.select("seg", F.lit(0).alias("part"), F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("keys"))
             met = sent.select(bits.columns).unionByName(bits).repartition("seg").sortWithinPartitions("seg", "part")
-            answers = met.mapInArrow(_answers(model.rest_words), "chunk long, seg int, levels binary")
+            answers = met.mapInArrow(_answers(model.rest_words, model.cut), "chunk long, seg int, levels binary")
             rows = rows.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "seg")
-        whole = rows.mapInArrow(_resolved(model.shared, model.numbers()), f"chunk long, ids {ids}, {Chunk.COLUMNS}, levels binary, at array<int>, times array<long>")
+        whole = rows.mapInArrow(_resolved(model.shared, model.numbers(), model.cut), f"chunk long, ids {ids}, {Chunk.COLUMNS}, levels binary, at array<int>, times array<long>")
         return materialize(whole, "resolved", compression="zstd")
 
 
