@@ -3,18 +3,18 @@
 Symbols are lower-cased words. The CGK random walk reads a window: at each step it writes the symbol it stands on and
 moves on by a random bit that depends on the step and the symbol. Two windows at a small edit distance walk apart at an
 edit and are soon together again, so that what they write differs in few steps: edit distance becomes Hamming distance.
-Keys made of a few sampled steps are the LSH. ``REPETITIONS`` walks, each with its own bits, over windows of item-sized
-classes from every anchor of an item give the recall; an item is a candidate if any of its keys meets. The exact edit
-distance between the whole item and the words around decides.
-
-Windows start at anchors: words whose hash is the smallest among ``ANCHOR_SPAN`` neighbours. Any such stretch of an item
-has one, and within a copied passage they are the same as in the item, so item and text are cut at the same places.
+Keys made of a few sampled steps are the LSH. Windows start at every word of items and texts, and their size follows the
+item's (``CLASSES``): the more edits an item may have, the smaller the part of it that a window can cover and still meet
+few of them. Each class walks so often, each time with other bits, that items with as many random edits as are allowed
+are candidates with a probability of ``TARGET`` or more (measured in the tests by length). Items of fewer than 5 words
+allow no edit and are one window. The exact edit distance between the whole item and the words around a candidate
+decides; it compares words, not hashes.
 
 A document is contaminated by an item if some stretch of its words is within ``1 - SIMILARITY`` of the item's length in
 word insertions, deletions and replacements. Items without words, and null texts, match nothing. The benchmark is the
-query set: it is taken in blocks of ``BLOCK`` items, each one broadcast (its keys number at most ``BLOCK`` times the
-words of an item times ``REPETITIONS`` times the classes; ``MAX_KEYS`` bounds a block) and run over whole texts of all
-documents. Repeated items are each reported; repeated rows are each searched. Empty tables give no rows.
+query set: it is taken in blocks of ``BLOCK`` items or ``MAX_KEYS`` keys, each one broadcast and run over whole texts of all
+documents in one pass; an item of more keys is a block of its own. Repeated items are each reported, rows with a null
+``doc_id`` or ``item_id`` like others; repeated rows are each searched. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,62 +27,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIMILARITY, REPETITIONS, BLOCK, MAX_KEYS = 0.8, 5, 20_000, 4_000_000
-#: Words of a window, by class, and the steps that are sampled for its key. For a block of shorter items the smallest class has
-#: the words of the shortest.
-CLASSES = ((8, (0, 3, 6, 9, 12)), (16, (0, 5, 10, 16, 22)), (32, (0, 10, 20, 31, 42)))
-STEPS = 1 + max(s for _, steps in CLASSES for s in steps)
-ANCHOR_SPAN = 6
-#: Length classes of items, by their shortest; each has its own pass over the texts, if it has items.
-LENGTHS = (1, 2, 4, 8, ANCHOR_SPAN + CLASSES[0][0] - 1)
-#: An item isn't looked for by windows of less than this part of it.
-NARROWEST = 8
-#: Anchor windows that walk at once, and slots of the table that a key must meet before the exact lookup.
-CHUNK, SLOTS = 1 << 16, 1 << 23
+SIMILARITY, TARGET, BLOCK, MAX_KEYS = 0.8, 0.95, 20_000, 4_000_000
+#: Classes of items by their fewest words: words of a window, the steps that are sampled for its key, walks.
+CLASSES = (
+    (1, 1, (0,), 1), (2, 2, (0, 1, 2, 3), 1), (3, 3, (0, 1, 2, 3, 4, 5), 1), (4, 4, (0, 1, 2, 3, 4, 5, 6, 7), 1),
+    (5, 3, (0, 2, 4), 5), (8, 5, (0, 3, 6, 9), 5), (15, 6, (0, 3, 6, 9, 11), 3), (30, 8, (0, 3, 6, 9, 12), 2), (100, 12, (0, 4, 8, 12, 16, 20), 3),
+)
+STEPS = 1 + max(s for _, _, steps, _ in CLASSES for s in steps)
+WALKS = max(c[3] for c in CLASSES)
+#: Windows that walk at once, slots of the table that a key must meet before the exact lookup, and words that are counted at once.
+CHUNK, SLOTS, CELLS = 1 << 16, 1 << 23, 1 << 22
 _WORDS = re.compile(r"\w+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def words_of(text: str | None) -> list[str]:
+    return _WORDS.findall((text or "").lower())
+
+
 def symbols(text: str | None) -> np.ndarray:
     """32-bit hashes of the words; never 0, which stands for what lies behind a window."""
-    words = _WORDS.findall((text or "").lower())
+    words = words_of(text)
     joined = map(zlib.crc32, map(str.encode, words))
     return np.maximum(np.fromiter(joined, np.uint32, len(words)), np.uint32(1))
 
 
-def anchors(x: np.ndarray, span: int) -> np.ndarray:
-    """Positions of the words that are the first smallest of some ``span`` neighbours by hash."""
-    if len(x) < span or span <= 1:
-        return np.arange(len(x)) if span <= 1 else np.zeros(0, np.int64)
-    h = (x * np.uint32(0x85EBCA6B)) ^ (x >> np.uint32(13))
-    low = h[: len(h) - span + 1].copy()
-    at = np.zeros(len(low), np.int64)
-    for k in range(1, span):
-        less = h[k : k + len(low)] < low
-        low[less] = h[k : k + len(low)][less]
-        at[less] = k
-    return np.unique(at + np.arange(len(low)))
+def class_of(n: int) -> int:
+    """Index into ``CLASSES`` of an item of n words."""
+    return max(c for c, (least, *_) in enumerate(CLASSES) if least <= n)
 
 
-def _multipliers(repetition: int) -> np.ndarray:
+def _multipliers(walk: int) -> np.ndarray:
     """The random function of one walk: an odd factor for each step, whose product's top bit moves the walk."""
-    return np.random.default_rng(1000 + repetition).integers(0, 1 << 31, STEPS, np.uint32) * np.uint32(2) + np.uint32(1)
-
-
-def _keys(padded: np.ndarray, starts: np.ndarray, repetition: int, least: int) -> list[np.ndarray]:
-    """By class, a 64-bit key of the window of that size from each start; the smallest class has ``least`` words. ``padded`` has
-    ``STEPS`` symbols to spare."""
-    factors = _multipliers(repetition)
-    walked = np.zeros(len(starts), np.int32)
-    starts = starts.astype(np.int32)
-    salt = lambda c: np.full(len(starts), (repetition * len(CLASSES) + c + 1) * 0x9E3779B9, np.uint64)
-    out = [salt(c) for c in range(len(CLASSES))]
-    for step in range(STEPS):
+    return np.random.default_rng(1000 + walk).integers(0, 1 << 31, STEPS, np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def _keys(padded: np.ndarray, starts: np.ndarray, walk: int, classes: list[int]) -> list[np.ndarray]:
+    """By class, a 64-bit key of the window from each start. ``padded`` has ``STEPS`` symbols to spare."""
+    factors = _multipliers(walk)
+    walked, starts = np.zeros(len(starts), np.int32), starts.astype(np.int32)
+    out = [np.full(len(starts), (walk * len(CLASSES) + c + 1) * 0x9E3779B9, np.uint64) for c in classes]
+    for step in range(1 + max(max(CLASSES[c][2]) for c in classes)):
         symbol = padded[starts + walked]
-        for c, (size, sampled) in enumerate(CLASSES):
+        for i, c in enumerate(classes):
+            _, size, sampled, _ = CLASSES[c]
             if step in sampled:
-                out[c] = (out[c] ^ np.where(walked < min(size, least if c == 0 else size), symbol, np.uint32(0))) * _M1
-                out[c] ^= out[c] >> np.uint64(29)
+                out[i] = (out[i] ^ (symbol if step < size else np.where(walked < size, symbol, np.uint32(0)))) * _M1
+                out[i] ^= out[i] >> np.uint64(29)
         walked += ((symbol * factors[step]) >> np.uint32(31)).astype(np.int32)
     return [(k * _M2) ^ (k >> np.uint64(32)) for k in out]
 
@@ -116,26 +107,23 @@ def edits_within(item: list[int], text: list[int], most: int) -> tuple[int, int]
 
 
 class Index:
-    """The keys of a block of items, and their texts for the exact check."""
+    """The keys of a block of items, and their words for the exact check."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        known = [(i, x) for i, x in ((i, symbols(t)) for i, t in items) if len(x)]
-        self.ids, self.words = [i for i, _ in known], [x for _, x in known]
-        shortest = min(map(len, self.words), default=1)
-        # any item has an anchor with a smallest window behind it
-        self.span = min(ANCHOR_SPAN, (shortest + 1) // 2)
-        self.least = min(CLASSES[0][0], shortest - self.span + 1)
+        known = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
+        self.ids, self.words = [i for i, _ in known], [w for _, w in known]
+        self.symbols = [symbols(" ".join(w)) for w in self.words]
+        self.sorted = [np.unique(x) for x in self.symbols]
+        of = [class_of(len(w)) for w in self.words]
+        self.classes = sorted(set(of))
         keys, owners, offsets = [], [], []
-        for t, x in enumerate(self.words):
-            padded, starts = np.concatenate([x, np.zeros(STEPS + 1, np.uint32)]), anchors(x, self.span)
-            for r in range(REPETITIONS):
-                for (size, _), k in zip(CLASSES, _keys(padded, starts, r, self.least)):
-                    # windows that the item fills, of its own order of size
-                    ok = starts + (self.least if size == CLASSES[0][0] else size) <= len(x)
-                    ok &= (len(x) <= NARROWEST * size) | (size == CLASSES[-1][0])
-                    keys.append(k[ok])
-                    owners.append(np.full(int(ok.sum()), t))
-                    offsets.append(starts[ok])
+        for t, (x, c) in enumerate(zip(self.symbols, of)):
+            starts = np.arange(len(x) - CLASSES[c][1] + 1)  # windows that the item fills
+            padded = np.concatenate([x, np.zeros(STEPS + 1, np.uint32)])
+            for walk in range(CLASSES[c][3]):
+                keys += _keys(padded, starts, walk, [c])
+                owners.append(np.full(len(starts), t))
+                offsets.append(starts)
         flat = lambda v, kind: np.concatenate(v).astype(kind) if v else np.zeros(0, kind)
         key, owner, offset = flat(keys, np.uint64), flat(owners, np.int64), flat(offsets, np.int64)
         order = np.argsort(key, kind="stable")
@@ -143,41 +131,54 @@ class Index:
         self.slots = np.zeros(SLOTS, bool)
         self.slots[self.key % np.uint64(SLOTS)] = True
 
-    def candidates(self, x: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Rows (text, position at which the item would start, item number), each once. ``x``: the symbols of several texts
-        with gaps of zeros; ``begins``: where each text begins."""
+    def allowed(self, t: int) -> int:
+        return int((1 - SIMILARITY) * len(self.words[t]) + 1e-9)
+
+    def candidates(self, x: np.ndarray) -> np.ndarray:
+        """Rows (item number, position at which the item would start), each once. ``x``: the symbols of several texts with
+        gaps of zeros."""
         padded = np.concatenate([x, np.zeros(STEPS + 1, np.uint32)])
         found = []
-        starts = anchors(x, self.span)
-        starts = starts[x[starts] != 0]
+        starts = np.flatnonzero(x)
         for at in range(0, len(starts), CHUNK):
             some = starts[at : at + CHUNK]
-            for r in range(REPETITIONS):
-                for k in _keys(padded, some, r, self.least):
+            for walk in range(WALKS):
+                classes = [c for c in self.classes if walk < CLASSES[c][3]]
+                for k in _keys(padded, some, walk, classes) if classes else ():
                     hit = np.flatnonzero(self.slots[k % np.uint64(SLOTS)])
                     if len(hit):
                         low, high = np.searchsorted(self.key, k[hit], "left"), np.searchsorted(self.key, k[hit], "right")
                         n = high - low
                         row = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        anchor = np.repeat(some[hit], n)
-                        found.append(np.stack([np.searchsorted(begins, anchor, "right") - 1, anchor - self.offset[row], self.owner[row]]))
-        return np.unique(np.concatenate(found, axis=1), axis=1).T if found else np.zeros((0, 3), np.int64)
-
-    def hits(self, x: np.ndarray, candidates: np.ndarray) -> dict[int, tuple[int, int]]:
-        """Item number to (edits, end) of the best stretch."""
+                        found.append(self.owner[row] << 40 | (np.repeat(some[hit], n) - self.offset[row] + (1 << 39)))
+        flat = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return np.stack([flat >> 40, (flat & (1 << 40) - 1) - (1 << 39)], axis=1)
+
+    def plausible(self, x: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The candidates around which so many words are the item's as no edit may touch."""
+        keep = []
+        for t in np.unique(found[:, 0]).tolist():
+            mine = found[found[:, 0] == t]
+            n, most = len(self.words[t]), self.allowed(t)
+            span = np.arange(-2 * most, n + 2 * most)
+            for at in range(0, len(mine), max(1, CELLS // len(span))):
+                some = mine[at : at + max(1, CELLS // len(span))]
+                place = some[:, 1, None] + span
+                near = np.where((place >= 0) & (place < len(x)), x[np.clip(place, 0, len(x) - 1)], np.uint32(0))
+                order = self.sorted[t]
+                inside = order[np.minimum(np.searchsorted(order, near), len(order) - 1)] == near
+                keep.append(some[inside.sum(axis=1) >= n - most])
+        return np.concatenate(keep) if keep else found
+
+    def hits(self, words: list[str], candidates: np.ndarray) -> dict[int, tuple[int, int]]:
+        """Item number to (edits, end) of the best stretch of a text, given as words."""
         best: dict[int, tuple[int, int]] = {}
-        text = x.tolist()
-        sets = {t: set(self.words[t].tolist()) for t in np.unique(candidates[:, 1]).tolist()}
-        for start, t in candidates.tolist():
-            item = self.words[t]
-            n, most = len(item), int((1 - SIMILARITY) * len(item) + 1e-9)
+        for t, start in candidates.tolist():
+            n, most = len(self.words[t]), self.allowed(t)
             if best.get(t, (n,))[0] == 0:
                 continue
-            low, high = max(0, start - 2 * most), min(len(text), start + n + 2 * most)
-            near = text[low:high]
-            if sum(map(sets[t].__contains__, near)) < n - most:  # each word that no edit touches is one of the item's
-                continue
-            got = edits_within(item.tolist(), near, most)
+            low, high = max(0, start - 2 * most), min(len(words), start + n + 2 * most)
+            got = edits_within(self.words[t], words[low:high], most)
             if got and got[0] < best.get(t, (n + 1,))[0]:
                 best[t] = (got[0], low + got[1])
         return best
@@ -195,11 +196,14 @@ def _search(index: Index, texts: list[str | None]) -> list[dict[int, tuple[int,
     if not parts or not len(index.key):
         return [{} for _ in texts]
     x, begins = np.concatenate(parts), np.asarray(begins)
-    found = index.candidates(x, begins)
-    ends = np.append(begins[1:], len(x)) - len(gap)
+    found = index.plausible(x, index.candidates(x))
+    # by the text in which the middle of the item would be: its start may lie before the text
+    middle = found[:, 1] + np.array([len(w) // 2 for w in index.words])[found[:, 0]]
+    text = np.clip(np.searchsorted(begins, middle, "right") - 1, 0, len(texts) - 1)
     out: list[dict] = [{} for _ in texts]
-    for d in np.unique(found[:, 0]):
-        out[d] = index.hits(x[begins[d] : ends[d]], found[found[:, 0] == d][:, 1:] - [begins[d], 0])
+    for d in np.unique(text):
+        mine = found[text == d]
+        out[d] = index.hits(words_of(texts[d]), mine - [0, begins[d]])
     return out
 
 
@@ -216,21 +220,20 @@ def _batches(texts: list, chars: int = 1 << 20):
 
 
 def _blocks(benchmark: DataFrame, block: int = BLOCK):
-    """Indexes of the items in blocks. Items are indexed with others of their length class, as the shortest of a block sets its
-    smallest window and its anchors."""
-    held: dict[int, list[tuple[int, str]]] = {low: [] for low in LENGTHS}
-    words = dict.fromkeys(LENGTHS, 0)
-    for r in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
-        n = len(symbols(r[1]))
+    """Indexes of the items in blocks."""
+    held, keys = [], 0
+    for r in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator(prefetchPartitions=True):
+        n = len(words_of(r[1]))
         if not n:
             continue
-        low = max(k for k in LENGTHS if k <= n)
-        held[low].append((r[0], r[1]))
-        words[low] += n
-        if len(held[low]) == block or words[low] * REPETITIONS * len(CLASSES) >= MAX_KEYS:
-            yield Index(held[low])
-            held[low], words[low] = [], 0
-    yield from (Index(items) for items in held.values() if items)
+        more = n * CLASSES[class_of(n)][3]
+        if held and (len(held) == block or keys + more > MAX_KEYS):
+            yield Index(held)
+            held, keys = [], 0
+        held.append((r[0], r[1]))
+        keys += more
+    if held:
+        yield Index(held)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

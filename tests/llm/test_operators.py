@@ -289,23 +289,57 @@ def test_edit_distance_to_a_stretch(item, text):
     assert decontaminate.edits_within(item, text, got[0] - 1) is None
 
 
-def test_passages_with_edits_are_found(spark, sample):
-    rng = random.Random(4)
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
-    vocabulary = " ".join(r["text"] for r in [*sample.values()][:100]).split()
+LENGTHS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 15, 19, 20, 29, 30, 40, 99, 100, 300)
+
+
+def edited(words, edits, rng, vocabulary):
+    """Words with so many random replacements, deletions and insertions."""
+    words = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(words))
+        words[at : at + rng.randrange(2)] = [rng.choice(vocabulary)] * rng.randrange(2)
+    return words
+
+
+def recall_at_the_limit(n, copies=150):
+    """Of an item of n words, the share of copies with as many edits as are allowed that the search finds. It is one of others
+    of its length; all words are from one vocabulary."""
+    rng = random.Random(n)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i in range(20)]
     index = decontaminate.Index(items)
-    found = total = 0
-    for t, (_, text) in enumerate(items):
-        for _ in range(10):
-            words = text.split()
-            for _ in range(int(0.18 * len(decontaminate.symbols(text)))):
-                at = rng.randrange(len(words))
-                words[at : at + rng.randrange(2)] = [rng.choice(vocabulary)] * rng.randrange(2)
-            page = " ".join(rng.choices(vocabulary, k=60) + words + rng.choices(vocabulary, k=60))
-            near = brute_edits(list(decontaminate.symbols(text)), list(decontaminate.symbols(page))) <= 0.2 * len(decontaminate.symbols(text))
-            total += near
-            found += near and t in decontaminate._search(index, [page])[0]
-    assert found >= 0.95 * total > 300
+    pages, want = [], []
+    while len(pages) < copies:
+        t = rng.randrange(20)
+        most = int(0.2 * n + 1e-9)
+        copy = edited(items[t][1].split(), most, rng, vocabulary)
+        words = rng.choices(vocabulary, k=30) + copy + rng.choices(vocabulary, k=30)
+        if brute_edits(items[t][1].split(), words) <= most:
+            pages.append(" ".join(words))
+            want.append(t)
+    return sum(t in hits for t, hits in zip(want, decontaminate._search(index, pages))) / copies
+
+
+@pytest.mark.parametrize("n", LENGTHS)
+def test_recall_at_the_edit_limit(n):
+    assert recall_at_the_limit(n, 150 if n < 100 else 40) >= decontaminate.TARGET
+
+
+def test_words_are_compared_not_hashes():
+    """Two words of one CRC."""
+    seen: dict = {}
+    for i in range(400_000):
+        w = f"w{i}"
+        h = zlib.crc32(w.encode())
+        if h in seen:
+            break
+        seen[h] = w
+    else:
+        a, b = "plumless", "buckeroo"  # known to collide
+        assert zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+        w, seen[h := zlib.crc32(a.encode())] = b, a
+    index = decontaminate.Index([(1, f"x {w} y")])
+    assert decontaminate._search(index, [f"x {seen[h]} y", f"x {w} y"]) == [{}, {0: (0, 3)}]
 
 
 def test_exact_passages_and_clean_documents(spark, sample):
