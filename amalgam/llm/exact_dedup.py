@@ -79,12 +79,10 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, whole and with all their columns; only rows outside the heavy groups are shuffled."""
-    digests = materialize(docs.select("doc_id", text_digest().alias("text_sha256")), "digests")
-    heavy = heavy_digests(digests, _order("doc_id")).select(F.col("text_sha256").alias("__digest"), F.col("winner").alias("__winner"))
-    survivors = (
-        docs.withColumn("__digest", text_digest())
-        .join(F.broadcast(heavy), "__digest", "left")
-        .filter(F.col("__winner").isNull() | F.col("__winner.id").eqNullSafe(F.col("doc_id")))
-    )
-    first = Window.partitionBy("__digest").orderBy(F.col("doc_id").asc_nulls_last())
+    rows = materialize(docs.withColumns({"__row": F.monotonically_increasing_id(), "__digest": text_digest()}), "rows")
+    order = _order("doc_id", "__row")
+    heavy = heavy_digests(rows.select(F.col("__digest").alias("text_sha256"), "doc_id", "__row"), order)
+    heavy = heavy.select(F.col("text_sha256").alias("__digest"), F.col("winner.row").alias("__winner"))
+    survivors = rows.join(F.broadcast(heavy), "__digest", "left").filter(F.col("__winner").isNull() | (F.col("__winner") == F.col("__row")))
+    first = Window.partitionBy("__digest").orderBy(order)
     return survivors.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").select(docs.columns)

@@ -8,12 +8,12 @@ Two such fingerprints agree on at least 2 of 5 parts of the bits, so the ten pai
 ten tables, where linked ones meet under a key of about 26 bits. Only different fingerprints are dealt: copies of one are
 one row. Within a partition sorted by key the 64 bits of the rows lie vertically, one plane of packed words for each bit.
 A row meets 64 others at once: the planes that differ from its own bits are added with carry-save counters, and a block
-of 64 is abandoned once all its counters have passed 3. Links are merged where they are found, so a block of n
+of 64 is abandoned once all its counters have passed the radius. Links are merged where they are found, so a block of n
 fingerprints gives at most n - 1 edges, not n^2.
 
 A run of more than ``LONGEST_RUN`` fingerprints under one key isn't compared there: its rows are dealt anew by the 56
-choices of 5 of 8 parts, on which linked fingerprints agree too, so no link is lost to a hot key. Those keys leave 24 bits
-free, which bounds a run there.
+choices of 5 of 8 parts, and what is still too long by the 560 choices of 13 of 16, on which linked fingerprints agree too,
+so no link is lost to a hot key. The last keys leave 12 bits free, so no run there has more than 4096 fingerprints.
 
 Components come from the edges by hooking and shortcutting until none changes, each round written to the shared folder;
 no edge or fingerprint goes to the driver.
@@ -53,7 +53,8 @@ def key_masks(parts: int, agree: int) -> list[int]:
     return [sum(c) for c in combinations(_parts(parts), agree)]
 
 
-FIRST, FINER = key_masks(5, 2), key_masks(8, 5)
+#: From coarse to fine; each takes what was too long in the one before.
+TABLES = (key_masks(5, 2), key_masks(8, 5), key_masks(16, 13))
 
 
 def fingerprint(text: str | None) -> int:
@@ -65,10 +66,15 @@ def fingerprint(text: str | None) -> int:
     else:
         shingles = [b"%b %b %b" % t for t in zip(words, words[1:], words[2:])]
     h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+    return int(majority(h))
+
+
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that more than half of the hashes have."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
         votes += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0])
+    return np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -91,9 +97,11 @@ def _planes(fp: np.ndarray) -> np.ndarray:
 
 
 def near(fp: np.ndarray, ends: np.ndarray, radius: int = RADIUS):
-    """Yields arrays (i, j), i < j < ends[i], of the rows whose fingerprints differ in at most 3 bits."""
-    assert radius == 3  # two counter planes and the carry out of them
-    planes, n = _planes(fp), len(fp)
+    """Yields arrays (i, j), i < j < ends[i], of the rows whose fingerprints differ in at most ``radius`` bits. ``fp``: a word
+    of 64 bits a row, or several."""
+    fp = fp[:, None] if fp.ndim == 1 else fp
+    planes, n, digits = [p for k in range(fp.shape[1]) for p in _planes(fp[:, k])], len(fp), max(radius.bit_length(), 1)
+    start = (1 << digits) - 1 - radius  # from here a counter overflows at radius + 1
     rows = np.arange(n)
     first, count = rows // 64, np.where(ends > rows + 1, (ends - 1) // 64 - rows // 64 + 1, 0)
     total = np.cumsum(count)
@@ -105,19 +113,21 @@ def near(fp: np.ndarray, ends: np.ndarray, radius: int = RADIUS):
         low, high = np.clip(row + 1 - 64 * word, 0, 64), np.clip(ends[row] - 64 * word, 0, 64)
         upto = lambda k: np.where(k >= 64, _ALL, (_ONE << np.minimum(k, 63).astype(np.uint64)) - _ONE)
         over = ~(upto(high) & ~upto(low))
-        ones, twos, own = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64), fp[row]
-        for b in range(0, 64, 4):
+        counter = [np.full(len(row), _ALL if start >> d & 1 else np.uint64(0)) for d in range(digits)]
+        for b in range(0, len(planes), 4):
+            own = fp[row, b // 64]
             for k in range(b, b + 4, 2):  # a carry-save adder takes two planes and the ones
-                x = planes[k][word] ^ (np.uint64(0) - ((own >> np.uint64(k)) & _ONE))
-                y = planes[k + 1][word] ^ (np.uint64(0) - ((own >> np.uint64(k + 1)) & _ONE))
+                x = planes[k][word] ^ (np.uint64(0) - ((own >> np.uint64(k % 64)) & _ONE))
+                y = planes[k + 1][word] ^ (np.uint64(0) - ((own >> np.uint64(k % 64 + 1)) & _ONE))
                 xy = x ^ y
-                carry = (x & y) | (xy & ones)
-                ones ^= xy
-                over |= twos & carry
-                twos ^= carry
+                carry = (x & y) | (xy & counter[0])
+                counter[0] ^= xy
+                for d in range(1, digits):
+                    counter[d], carry = counter[d] ^ carry, counter[d] & carry
+                over |= carry
             alive = over != _ALL
             if not alive.all():
-                row, word, own, over, ones, twos = (v[alive] for v in (row, word, own, over, ones, twos))
+                row, word, over, *counter = (v[alive] for v in (row, word, over, *counter))
                 if not len(row):
                     break
         if len(row):
@@ -141,10 +151,8 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 def _edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
     """Edges (fp, lower) that hold together what is linked among sorted rows."""
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    ends = np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
     label = np.arange(len(fp))
-    for i, j in near(fp, ends):
+    for i, j in near(fp, run_ends(key)):
         _merge(label, i, j)
     while ((deeper := label[label]) != label).any():
         label = deeper
@@ -153,8 +161,32 @@ def _edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"fp": np.maximum(a, b), "lower": np.minimum(a, b)})
 
 
-def _compare(split: bool):
-    """Turns rows (key, fp) sorted by key into edges; with ``split`` a long run's rows come back as edges to null."""
+def sorted_runs(batches, columns: int):
+    """Of batches whose first column is a sorted key, stretches of whole runs: arrays of the columns, each as 64-bit words. A
+    run is held whole."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in range(columns)])
+        n += batch.num_rows
+        if n >= STEP:
+            flat = [np.concatenate(c) for c in zip(*held)]
+            last = int(np.searchsorted(flat[0].view(np.int64), flat[0].view(np.int64)[-1], side="left"))
+            if last:
+                yield [c[:last] for c in flat]
+            held, n = [[c[last:] for c in flat]], len(flat[0]) - last
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def run_ends(key: np.ndarray) -> np.ndarray:
+    """For each row of sorted keys, where its run ends."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return np.repeat(np.append(starts[1:], len(key)), np.diff(np.append(starts, len(key))))
+
+
+def _compare(longest: int):
+    """Turns rows (key, fp) sorted by key into edges; the rows of longer runs come back as edges to null."""
 
     def run(batches):
         keys, fps, long_key = [], [], None
@@ -182,14 +214,14 @@ def _compare(split: bool):
             keys.append(key)
             fps.append(fp)
             held += len(key)
-            if held > LONGEST_RUN:
+            if held > longest:
                 flat = np.concatenate(keys)
                 last = int(np.searchsorted(flat, flat[-1], side="left"))
                 starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
                 sizes = np.diff(np.append(starts, len(flat)))
-                if split and (sizes > LONGEST_RUN).any():
+                if (sizes > longest).any():
                     allfp = np.concatenate(fps)
-                    hot = np.repeat(sizes > LONGEST_RUN, sizes)
+                    hot = np.repeat(sizes > longest, sizes)
                     yield overflow(allfp[hot])
                     if hot[-1]:
                         long_key = flat[-1]
@@ -208,37 +240,46 @@ def _compare(split: bool):
     return run
 
 
-def _deal(fps: DataFrame, masks: list[int], per_table: bool) -> DataFrame:
+def _deal(fps: DataFrame, masks: list[int]) -> DataFrame:
     """Rows (key, fp): each fingerprint once for each mask, dealt by key and sorted within partitions."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     tables = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed))))
-    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return fps.select(tables.alias("key"), "fp").repartition(parts, "key").sortWithinPartitions("key", "fp")
+    return fps.select(tables.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, longest: int | None = None) -> DataFrame:
     """Edges (fp, lower) between different fingerprints whose components are those of all links. ``fps``: distinct fp."""
-    kind = "fp long, lower long"
-    found = materialize(_deal(fps, FIRST, False).mapInArrow(_compare(True), kind), "links")
-    hot = found.filter("lower IS NULL").select("fp").distinct()
-    edges = found.filter("lower IS NOT NULL")
-    if not hot.isEmpty():
-        edges = edges.unionByName(_deal(hot, FINER, True).mapInArrow(_compare(False), kind))
+    edges = None
+    for masks in TABLES:
+        found = materialize(_deal(fps, masks).mapInArrow(_compare(longest or LONGEST_RUN), "fp long, lower long"), "links")
+        there = found.filter("lower IS NOT NULL")
+        edges = edges.unionByName(there) if edges else there
+        fps = found.filter("lower IS NULL").select("fp").distinct()
+        if fps.isEmpty():
+            break
     return edges.distinct()
 
 
+def _classes(prints: DataFrame, place) -> DataFrame:
+    """fp, and the least ``place`` in its component (least), for each different fingerprint. ``prints``: a table with fp."""
+    classes = materialize(prints.groupBy("fp").agg(F.min(place).alias("first")), "classes")
+    lowest = components(links(classes.select("fp")), "fp").withColumnRenamed("fp", "node")
+    rooted = materialize(classes.join(lowest, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("lowest", "fp").alias("root")), "roots")
+    smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("least")), "smallest").withColumnRenamed("root", "of")
+    return rooted.join(smallest, F.col("root") == F.col("of")).select("fp", "root", "least")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of each row."""
     prints = materialize(fingerprints(docs), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    lowest = components(links(classes.select("fp")), "fp").withColumnRenamed("fp", "node")
-    rooted = materialize(classes.join(lowest, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("lowest", "fp").alias("root")), "roots")
-    smallest = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest").withColumnRenamed("root", "of")
-    ids = materialize(rooted.join(smallest, F.col("root") == F.col("of")).select(F.col("fp").alias("class"), "component_id"), "ids")
+    ids = materialize(_classes(prints, F.col("doc_id")).select(F.col("fp").alias("class"), F.col("least").alias("component_id")), "ids")
     return prints.join(ids, F.col("fp") == F.col("class")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, whole, whose doc_id is the smallest of its component; rows without doc_id stay."""
-    dropped = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs``, whole, that come first by doc_id (nulls last) in their component: one of each, whatever ids its
+    rows have or share."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    prints = fingerprints(rows.select(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "__row").alias("doc_id"), "text"))
+    first = _classes(materialize(prints.withColumnRenamed("doc_id", "place"), "fingerprints"), F.col("place")).select(F.col("least.__row").alias("__row")).distinct()
+    return rows.join(first, "__row", "left_semi").select(docs.columns)

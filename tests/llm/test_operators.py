@@ -67,9 +67,23 @@ def test_exact_groups_with_a_hot_text(spark):
     assert got == want
     digests = df.select("doc_id", exact_dedup.text_digest().alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
     assert 400 in {r["group_size"] for r in exact_dedup.heavy_digests(common.materialize(digests, "d"), exact_dedup._order("doc_id", "row")).collect()}
-    assert {r["doc_id"] for r in exact_dedup.keep_first(df).collect()} == {i for i, w in want.items() if w[2]}
+    assert sorted(r["doc_id"] for r in exact_dedup.keep_first(df).collect()) == sorted(i for i, w in want.items() if w[2])
 
 
+@pytest.mark.parametrize("one", [None, 7])
+def test_heavy_text_whose_copies_share_an_id(spark, one):
+    df = spark.createDataFrame([(one, "hot", None, None)] * 500 + [(i, f"own {i}", None, None) for i in range(40)], DOCS).repartition(5)
+    got = [r["text"] for r in exact_dedup.keep_first(df).collect()]
+    assert sorted(got) == sorted(["hot", *(f"own {i}" for i in range(40))])
+    assert sum(r["kept"] for r in exact_dedup.duplicate_groups(df).collect()) == 41
+
+
+def test_keep_one_drops_rows_not_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text), (3, text), (7, "quite another text of its own"), (None, text), (None, None), (2, ""), (None, "alone without an id at all")]
+    got = simhash.keep_one(spark.createDataFrame([(i, t, None, None) for i, t in rows], DOCS)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(3, text), (7, "quite another text of its own"), (2, ""), (None, "alone without an id at all")], key=repr)
+
 # mixing
 
 
@@ -109,6 +123,30 @@ def test_curriculum_follows_the_schedules(spark):
         assert abs(np.mean([half(s) for s in names[k::3]]) - want) < 0.1
 
 
+def test_curriculum_places_rows_not_ids(spark, monkeypatch):
+    """Null and repeated ids are documents like others, and columns with the names of the added ones stay."""
+    monkeypatch.setattr(mixing, "RANGE", 1)
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 5, 6, i]), " ".join(f"t{i}" for _ in range(rng.randrange(9))), "en", rng.choice(["a", "b", None]), "mine") for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS + ", epoch string").repartition(4)
+    out = mixing.curriculum(docs).collect()
+    assert out[0].__fields__[4:] == ["epoch", "epoch_", "take_words", "position"] and {r["epoch"] for r in out} == {"mine"}
+    taken: dict = {}
+    for r in out:
+        n = len(r["text"].split())
+        assert 0 < r["take_words"] <= n
+        taken[r["text"]] = taken.get(r["text"], 0) + r["take_words"]
+    plan = mixing.plan_mix(docs).collect()
+    assert sum(taken.values()) == sum(r["taken"] for r in plan) and all(n <= 2 * len(t.split()) for t, n in taken.items())
+    goal = {r["source_size"]: round(r["target"]) for r in plan}
+    by: dict = {}
+    size: dict = {}
+    for _, t, _, source, _ in rows:
+        size[source] = size.get(source, 0) + len(t.split())
+        by[source] = by.get(source, 0) + taken.pop(t, 0)
+    assert {size[s]: n for s, n in by.items()} == goal
+
+
 @pytest.mark.parametrize("kind", range(3))
 def test_training_time_inverts_the_integral(spark, kind):
     knots = mixing.SCHEDULES[kind]
@@ -183,13 +221,24 @@ def test_bit_sliced_comparison(seed):
     assert list(simhash.near(f[:0], ends[:0])) == []
 
 
-@pytest.mark.parametrize("masks,apart", [(simhash.FIRST, 3), (simhash.FINER, 3)])
-def test_keys_are_shared(masks, apart):
+@pytest.mark.parametrize("seed,radius", [(0, 0), (1, 1), (2, 5), (3, 20), (4, 36)])
+def test_bit_sliced_comparison_of_wide_fingerprints(seed, radius):
+    rng = random.Random(seed)
+    base = [rng.getrandbits(128) for _ in range(6)]
+    flip = lambda x: x ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(60)))
+    whole = [flip(rng.choice(base)) for _ in range(300)]
+    f = np.array([[x & (1 << 64) - 1, x >> 64] for x in whole], np.uint64)
+    got = {(int(a), int(b)) for i, j in simhash.near(f, np.full(300, 300), radius) for a, b in zip(i, j)}
+    assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if (whole[i] ^ whole[j]).bit_count() <= radius}
+
+
+@pytest.mark.parametrize("masks", simhash.TABLES)
+def test_keys_are_shared(masks):
     rng = random.Random(0)
     for _ in range(500):
         a = rng.getrandbits(64)
         b = a
-        for bit in rng.sample(range(64), apart):
+        for bit in rng.sample(range(64), 3):
             b ^= 1 << bit
         assert any(a & m == b & m for m in masks)
 
@@ -200,12 +249,11 @@ def as_batches(key, fp, size):
 
 
 @pytest.mark.parametrize("longest,size", [(1 << 16, 50), (40, 17), (1, 64), (10, 1000)])
-def test_long_runs_go_elsewhere_whole(monkeypatch, longest, size):
+def test_long_runs_go_elsewhere_whole(longest, size):
     """Whatever the batches, a run is either compared whole or comes back whole."""
-    monkeypatch.setattr(simhash, "LONGEST_RUN", longest)
     f = np.array(clouds(600, 6, 1), np.uint64)
     key = np.sort(np.random.default_rng(1).choice([1, 1, 1, 2, 3, 4, 5, 6, 7], len(f)))
-    out = [r for b in simhash._compare(True)(as_batches(key, f, size)) for r in zip(b.column("fp").to_pylist(), b.column("lower").to_pylist())]
+    out = [r for b in simhash._compare(longest)(as_batches(key, f, size)) for r in zip(b.column("fp").to_pylist(), b.column("lower").to_pylist())]
     back = {fp for fp, low in out if low is None}
     for k in np.unique(key):
         mine = {int(x) for x in f[key == k].view(np.int64)}
@@ -213,17 +261,19 @@ def test_long_runs_go_elsewhere_whole(monkeypatch, longest, size):
         if len(mine) <= longest:
             assert not mine & back
     edges = {(a, b) for a, b in out if b is not None}
-    bits = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
-    assert all(a > b for a, b in edges) and (longest < 100 or edges) and all(bits(a, b) <= 64 for a, b in edges)
+    assert all(a > b for a, b in edges) and (longest < 100 or edges)
+    linked = brute_components([int(x) for x in f])
+    of = {x: i for i, s in enumerate(linked) for x in s}
+    assert all(of[a & (1 << 64) - 1] == of[b & (1 << 64) - 1] for a, b in edges)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_components_of_all_links(spark, hot):
-    """With ``hot`` the finer tables alone: they find the same links."""
+@pytest.mark.parametrize("longest", [None, 40, 3])
+def test_components_of_all_links(spark, longest):
+    """Also where runs are dealt anew, once or twice."""
     fps = clouds(500, 9, 3)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    edges = simhash._deal(df, simhash.FINER, True).mapInArrow(simhash._compare(False), "fp long, lower long").distinct() if hot else simhash.links(df)
+    edges = simhash.links(df, longest)
     label = {x: x for x in signed} | {r["fp"]: r["lowest"] for r in simhash.components(edges, "fp").collect()}
     sets: dict = {}
     for x, low in label.items():
