@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+#: Paths of the tables that were written within ``scratch``, by its name.
+_scratch: dict[str, list[str]] = {}
+_names: list[str] = []
+
+
+@contextmanager
+def scratch(name: str):
+    """Tables written within it are those of ``name``, until ``release``."""
+    _names.append(name)
+    try:
+        yield
+    finally:
+        _names.pop()
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete the tables of ``name`` that are still there. What reads them must have been written elsewhere."""
+    for path in _scratch.pop(name, []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def materialize(df: DataFrame, label: str, **options) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and a lost executor
     costs a read of that file instead of the steps before it. The shuffle files of those steps go at once. ``options``: of
@@ -41,14 +68,14 @@ def materialize(df: DataFrame, label: str, **options) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._amalgam_path = path
+    if _names:
+        _scratch.setdefault(_names[-1], []).append(path)
     return back
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._amalgam_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._amalgam_path)
 
 
 class SnapshotTable:
