@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..expressions import let
-from ..storage import discard, materialize, shared_dir
+from ..storage import discard, materialize, release, scratch, shared_dir
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,14 +27,6 @@ def arrow_rows(spark: SparkSession, most: int):
         spark.conf.set(key, before)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept on the executors' disks: for what one operator reads several times and no loop builds on.
-    Partitions of a lost executor are computed again. ``unpersist()`` frees them."""
-    df = df.persist(StorageLevel.DISK_ONLY)
-    df.count()
-    return df
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -44,4 +35,4 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-__all__ = ["SPACE", "WORD", "arrow_rows", "discard", "documents", "kept", "let", "materialize", "shared_dir", "text_or_empty"]
+__all__ = ["SPACE", "WORD", "arrow_rows", "discard", "documents", "let", "materialize", "release", "scratch", "shared_dir", "text_or_empty"]

@@ -251,7 +251,8 @@ def links(fps: DataFrame, longest: int | None = None) -> DataFrame:
     """Edges (fp, lower) between different fingerprints whose components are those of all links. ``fps``: distinct fp."""
     edges = None
     for masks in TABLES:
-        found = materialize(_deal(fps, masks).mapInArrow(_compare(longest or LONGEST_RUN), "fp long, lower long"), "links")
+        most = (longest or LONGEST_RUN) if masks is not TABLES[-1] else 1 << 62
+        found = materialize(_deal(fps, masks).mapInArrow(_compare(most), "fp long, lower long"), "links")
         there = found.filter("lower IS NOT NULL")
         edges = edges.unionByName(there) if edges else there
         fps = found.filter("lower IS NULL").select("fp").distinct()
