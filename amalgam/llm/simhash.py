@@ -97,8 +97,8 @@ def _planes(fp: np.ndarray) -> np.ndarray:
 
 
 def near(fp: np.ndarray, ends: np.ndarray, radius: int = RADIUS):
-    """Yields arrays (i, j), i < j < ends[i], of the rows whose fingerprints differ in at most ``radius`` bits. ``fp``: a word
-    of 64 bits a row, or several."""
+    """Yields arrays (i, j, bits), i < j < ends[i], of the rows whose fingerprints differ in at most ``radius`` bits, and in how
+    many. ``fp``: a word of 64 bits a row, or several."""
     fp = fp[:, None] if fp.ndim == 1 else fp
     planes, n, digits = [p for k in range(fp.shape[1]) for p in _planes(fp[:, k])], len(fp), max(radius.bit_length(), 1)
     start = (1 << digits) - 1 - radius  # from here a counter overflows at radius + 1
@@ -133,7 +133,8 @@ def near(fp: np.ndarray, ends: np.ndarray, radius: int = RADIUS):
         if len(row):
             lanes = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             t, lane = np.nonzero(lanes)
-            yield row[t], word[t] * 64 + lane
+            bits = sum((c[t] >> lane.astype(np.uint64) & _ONE).astype(np.int64) << d for d, c in enumerate(counter)) - start
+            yield row[t], word[t] * 64 + lane, bits
 
 
 def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -149,10 +150,32 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
 
 
+def forests(label: np.ndarray, i: np.ndarray, j: np.ndarray, bits: np.ndarray, times: int) -> np.ndarray:
+    """Which of the pairs are in a minimum spanning forest by ``bits`` of the sets in ``label``, or in one of those without
+    the pairs of the forests before it, up to ``times``."""
+    order = np.argsort(bits, kind="stable")
+    chosen: list[np.ndarray] = []
+    for _ in range(times):
+        own, left, taken = label.copy(), order, []
+        for at in np.split(left, np.flatnonzero(np.diff(bits[left])) + 1):
+            while len(at):
+                while ((deeper := own[own]) != own).any():
+                    own = deeper
+                a, b = own[i[at]], own[j[at]]
+                at, a, b = at[a != b], a[a != b], b[a != b]
+                first = np.unique(np.maximum(a, b), return_index=True)[1]  # each set takes one pair to a lower one
+                taken.append(at[first])
+                _merge(own, i[at[first]], j[at[first]])
+        chosen += taken
+        order = np.setdiff1d(order, np.concatenate([*taken, np.zeros(0, np.int64)]), assume_unique=True)
+        order = order[np.argsort(bits[order], kind="stable")]
+    return np.sort(np.concatenate([*chosen, np.zeros(0, np.int64)])).astype(np.int64)
+
+
 def _edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
     """Edges (fp, lower) that hold together what is linked among sorted rows."""
     label = np.arange(len(fp))
-    for i, j in near(fp, run_ends(key)):
+    for i, j, _ in near(fp, run_ends(key)):
         _merge(label, i, j)
     while ((deeper := label[label]) != label).any():
         label = deeper

@@ -215,7 +215,7 @@ def test_bit_sliced_comparison(seed):
     rng = np.random.default_rng(seed)
     key = np.sort(rng.integers(0, 4, len(f)))
     ends = np.searchsorted(key, key, "right")
-    got = {(int(a), int(b)) for i, j in simhash.near(f, ends) for a, b in zip(i, j)}
+    got = {(int(a), int(b)) for i, j, _ in simhash.near(f, ends) for a, b in zip(i, j)}
     d = np.bitwise_count(f[:, None] ^ f[None, :])
     assert got == {(i, j) for i, j in zip(*np.nonzero((d <= 3) & (key[:, None] == key[None, :]))) if i < j}
     assert list(simhash.near(f[:0], ends[:0])) == []
@@ -228,8 +228,39 @@ def test_bit_sliced_comparison_of_wide_fingerprints(seed, radius):
     flip = lambda x: x ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(60)))
     whole = [flip(rng.choice(base)) for _ in range(300)]
     f = np.array([[x & (1 << 64) - 1, x >> 64] for x in whole], np.uint64)
-    got = {(int(a), int(b)) for i, j in simhash.near(f, np.full(300, 300), radius) for a, b in zip(i, j)}
-    assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if (whole[i] ^ whole[j]).bit_count() <= radius}
+    got = {(int(a), int(b), int(d)) for i, j, bits in simhash.near(f, np.full(300, 300), radius) for a, b, d in zip(i, j, bits)}
+    apart = {(i, j): (whole[i] ^ whole[j]).bit_count() for i in range(300) for j in range(i + 1, 300)}
+    assert got == {(*pair, d) for pair, d in apart.items() if d <= radius}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_forests(seed):
+    """Of each threshold the first has the components of all pairs, and each is a forest."""
+    rng = np.random.default_rng(seed)
+    n = 60
+    i, j = np.triu_indices(n, 1)
+    some = rng.random(len(i)) < 0.2
+    i, j = i[some], j[some]
+    bits = rng.integers(0, 9, len(i))
+    label = np.arange(n)
+    label[[7, 9]] = 3
+
+    def sets(edges, low=None):
+        own = list(label)
+        for a, b in edges:
+            x, y = sorted((own[a], own[b]))
+            own = [x if v == y else v for v in own]
+        return own
+
+    one = simhash.forests(label, i, j, bits, 1)
+    assert len(one) == len(set(sets([]))) - len(set(sets(zip(i, j))))
+    for most in range(9):
+        under = one[bits[one] <= most]
+        assert sets(zip(i[under], j[under])) == sets(zip(i[bits <= most], j[bits <= most]))
+    three = simhash.forests(label, i, j, bits, 3)
+    assert set(one) < set(three) and len(three) <= 3 * n
+    rest = np.setdiff1d(np.arange(len(i)), one)
+    assert set(rest[simhash.forests(label, i[rest], j[rest], bits[rest], 1)]) <= set(three)
 
 
 @pytest.mark.parametrize("masks", simhash.TABLES)
