@@ -9,7 +9,9 @@ style attributes and of rules with a simple selector in the page's own style she
 closed ``dialog``; all but the chosen option of a drop-down list.
 
 Whitespace collapses, but for ``pre`` and ``textarea``. Columns are padded to ``PAD`` characters at most, so that a table
-used for layout can't multiply a long text. Tables nested deeper than ``DEPTH`` are rendered as plain blocks.
+used for layout can't multiply a long text: cells behind a longer one are set off by two spaces. Tables nested deeper than
+``DEPTH`` are rendered as plain blocks. Both change the layout only, no text is lost. An end tag closes an element among the
+last ``REACH`` open ones, so time grows with the page also where nothing is ever closed.
 
 A null or empty page has an empty text. Unclosed or misnested tags never fail. Repeated rows are rendered each on its own;
 an empty table gives no rows.
@@ -23,8 +25,10 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Elements nested deeper become siblings, as in browsers.
-PAD, DEPTH, NESTING, GAP = 80, 12, 256, "  "
+#: Widest column that is padded, tables within tables that are set in columns, and what stands between columns.
+PAD, DEPTH, GAP = 80, 12, "  "
+#: How many open elements are looked through for one that an end tag or an implied end names; deeper ones stay open.
+REACH = 512
 
 # What HTML says about elements. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,6 +80,14 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def _insert_before(children: list, node: Node, new) -> None:
+    """Puts ``new`` before ``node``, which is among the last children."""
+    at = len(children) - 1
+    while children[at] is not node:
+        at -= 1
+    children.insert(at, new)
+
+
 class Builder:
     """Builds the tree of one page."""
 
@@ -84,6 +96,7 @@ class Builder:
         self.head, self.body = Node("head"), Node("body")
         self.root.children = [self.head, self.body]
         self.stack, self.styles, self.title = [self.root, self.head], [], ""
+        self.foreign = 0
 
     def leave_head(self) -> None:
         if self.stack[1] is self.head:
@@ -104,21 +117,30 @@ class Builder:
             if not raw.isspace():
                 at = max(i for i, n in enumerate(self.stack) if n.tag in TABLE_PARTS and (n.tag == "table" or i == 2))
                 above, table = self.stack[at - 1], self.stack[at]
-                above.children.insert(above.children.index(table), data)
+                _insert_before(above.children, table, data)
             return
         top.children.append(data)
 
     def close(self, tags: tuple[str, ...], within: tuple[str, ...]) -> None:
         """Ends the outermost open element of ``tags`` inside the innermost of ``within``."""
         found = 0
-        for i in range(len(self.stack) - 1, 1, -1):
+        for i in range(len(self.stack) - 1, max(1, len(self.stack) - REACH), -1):
             tag = self.stack[i].tag
             if tag in tags:
                 found = i
             elif tag in within or (tag == "table" and "table" not in tags):
                 break
         if found:
-            del self.stack[found:]
+            self.leave(found)
+
+    def leave(self, at: int) -> None:
+        """Closes the open elements from that place on."""
+        self.foreign -= sum(n.tag in ("svg", "math") for n in self.stack[at:])
+        del self.stack[at:]
+
+    def push(self, node: Node) -> None:
+        self.foreign += node.tag in ("svg", "math")
+        self.stack.append(node)
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
         if tag in ("html", "body", "head"):
@@ -130,7 +152,7 @@ class Builder:
             return
         if self.stack[1] is self.head and tag not in IN_HEAD:
             self.leave_head()
-        foreign = any(n.tag in ("svg", "math") for n in self.stack)
+        foreign = self.foreign > 0
         if foreign and tag in FOREIGN_UNSEEN:
             attrs = attrs | {"hidden": ""}
         if self.stack[-1].tag == "colgroup" and tag not in ("col", "template"):
@@ -152,16 +174,14 @@ class Builder:
             at = max(i for i, n in enumerate(self.stack) if n.tag in TABLE_PARTS and (n.tag == "table" or i == 2))
             above, table = self.stack[at - 1], self.stack[at]
             node = Node(tag, attrs)
-            above.children.insert(above.children.index(table), node)
+            _insert_before(above.children, table, node)
             if tag not in VOID and not closed:
-                self.stack.append(node)
+                self.push(node)
             return
         node = Node(tag, attrs)
-        if len(self.stack) > NESTING:
-            self.stack.pop()
         self.stack[-1].children.append(node)
         if tag not in VOID and not (closed and (foreign or tag in ("svg", "math", "path"))):
-            self.stack.append(node)
+            self.push(node)
 
     def imply(self, inside: str, tag: str) -> None:
         if self.stack[-1].tag == inside:
@@ -178,13 +198,13 @@ class Builder:
         if tag == "br":
             self.start("br", {}, False)
             return
-        for i in range(len(self.stack) - 1, 1, -1):
+        for i in range(len(self.stack) - 1, max(1, len(self.stack) - REACH), -1):
             open_tag = self.stack[i].tag
             if open_tag == tag:
                 if tag not in BLOCKS and any(n.tag in BLOCKS for n in self.stack[i + 1 :]):
                     del self.stack[i]  # a block that began inside goes on
                 else:
-                    del self.stack[i:]
+                    self.leave(i)
                 return
             if open_tag in ("td", "th", "caption", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
                 break
@@ -194,8 +214,11 @@ class Builder:
 
     def feed(self, page: str) -> Node:
         at, end = 0, len(page)
+        last = page.rfind(">") + 1  # no tag ends behind it; a comment may begin there and last to the end
+        open_comment = page.find("<!--", last)
+        page, end = (page[:open_comment], open_comment) if open_comment >= 0 else (page, end)
         while at < end:
-            m = _TOKEN.search(page, at)
+            m = _TOKEN.search(page, at, last) if at < last else None
             if not m:
                 self.text(page[at:])
                 break
@@ -416,37 +439,37 @@ class Renderer:
     def table(self, node: Node, depth: int, seen: bool) -> list[str]:
         """The rows of a table, each line with its cells in columns."""
         out: list[str] = []
-        rows: list[list[Node]] = []
-        todo: list = [(node, seen)]
-        captions: list[Node] = []
-        while todo:
-            part, _ = todo.pop(0)
-            for c in part.children:
-                if not isinstance(c, Node) or self.says(c) == "none":
-                    continue
-                if c.tag == "tr":
-                    rows.append([x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th") and self.says(x) != "none"])
-                elif c.tag in ("thead", "tbody", "tfoot"):
-                    rows.extend(
-                        [x for x in r.children if isinstance(x, Node) and x.tag in ("td", "th") and self.says(x) != "none"]
-                        for r in c.children if isinstance(r, Node) and r.tag == "tr" and self.says(r) != "none"
-                    )
-                elif c.tag == "caption":
-                    captions.append(c)
-        for c in captions:
-            out += self.block(c, depth, seen)
+        rows: list[list[tuple[Node, bool]]] = []
+
+        def inherits(part: Node, seen: bool) -> bool | None:
+            """Whether what is in ``part`` is seen unless it says otherwise; None if nothing of it is rendered."""
+            says = self.says(part)
+            return None if says == "none" else seen if says is None else says == "visible"
+
+        def parts(of: Node, seen: bool):
+            for c in of.children:
+                if isinstance(c, Node) and (own := inherits(c, seen)) is not None:
+                    yield c, own
+
+        for c, own in parts(node, seen):
+            if c.tag == "tr":
+                rows.append([x for x in parts(c, own) if x[0].tag in ("td", "th")])
+            elif c.tag in ("thead", "tbody", "tfoot"):
+                rows.extend([x for x in parts(r, shown) if x[0].tag in ("td", "th")] for r, shown in parts(c, own) if r.tag == "tr")
+            elif c.tag == "caption":
+                out += self.block(c, depth, own)
         taken: dict[int, int] = {}  # column: rows that a cell above still fills
         grid: list[list[tuple[int, int, list[str], str]]] = []
         widths: dict[int, int] = {}
         for cells in rows:
             placed, column, now = [], 0, dict(taken)
             taken = {k: v - 1 for k, v in taken.items() if v > 1}
-            for cell in cells:
+            for cell, shown in cells:
                 while now.get(column, 0) > 0:
                     column += 1
                 span = _number(cell.attrs.get("colspan"), 1000)
                 down = _number(cell.attrs.get("rowspan"), len(rows))
-                text = self.block(cell, depth, seen)
+                text = self.block(cell, depth, shown)
                 align = (cell.attrs.get("align") or "".join(re.findall(r"text-align\s*:\s*(\w+)", cell.attrs.get("style", ""))[:1])).lower()
                 placed.append((column, span, text, align))
                 if down > 1:
@@ -477,7 +500,7 @@ class Renderer:
     def block(self, node: Node, depth: int, seen: bool) -> list[str]:
         inner = Node("div")
         inner.children = node.children
-        inner.attrs = {"style": "visibility:hidden"} if not seen or self.says(node) in ("hidden", "collapse") else {}
+        inner.attrs = {} if seen else {"style": "visibility:hidden"}
         return self.render(inner, depth)
 
 

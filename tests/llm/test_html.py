@@ -1,3 +1,4 @@
+import time
 from html.parser import HTMLParser
 
 import duckdb
@@ -73,3 +74,25 @@ def test_colgroup_without_its_end(rest):
 
 def test_svg_and_math_text():
     assert page_text("<p>a <svg><title>t</title><desc>d</desc><defs/><circle r=1 /><text>b</text></svg> <math><mi>x</mi><annotation>no</annotation></math> c")[1] == "a b x c"
+
+
+def test_hidden_parts_of_tables():
+    hidden = "style='visibility:hidden'"
+    assert page_text(f"<table><tr {hidden}><td>no<tr><td>b</table>")[1] == "b"
+    assert page_text(f"<table><tbody {hidden}><tr><td>no<tr style='visibility:visible'><td>b<td {hidden}>no</table>")[1] == "b"
+    assert page_text(f"<table {hidden}><caption>no</caption><tr><td style='visibility:visible'>c<td>no</table>")[1] == "c"
+
+
+def test_hidden_at_any_depth():
+    assert page_text("<div>" * 600 + "<div hidden><div>no</div></div>" + "</div>" * 600 + "x")[1] == "x"
+
+
+@pytest.mark.parametrize("page,text", [("<a " * 350_000, "<a"), ("<table>" + "x<br>" * 200_000, "x"), ("<i>" * 300_000 + "y", "y"), ("</b>" * 250_000 + "z", "z"), ("<table><tr><td>" * 60_000 + "w", "w")])
+def test_a_megabyte_of_hostile_markup(page, text):
+    began = time.perf_counter()
+    assert text in page_text(page)[1]
+    assert time.perf_counter() - began < 20
+
+
+def test_comment_behind_the_last_tag():
+    assert page_text("<p>a</p>b<!-- no")[1] == "a\n\nb" and page_text("a<!-- no")[1] == "a" and page_text("<p>a <b")[1] == "a <b"
