@@ -7,16 +7,16 @@ largest remaining share is the prediction and that share its score.
 
 The trigram model is learned from documents with a language whose ``crc32(doc_id as text) mod 3`` is not 1. Of these a
 bounded sample is used: ``SAMPLE`` documents of each language are expected, chosen by a hash of ``doc_id``. Trigrams
-are hashed into ``BUCKETS`` classes, so the model's size is ``BUCKETS`` times the number of languages. Predictions read
-whole texts and nothing but the text.
+are hashed into ``BUCKETS`` classes, so the model's size is ``BUCKETS`` times the number of languages, and that number has a
+bound: labels beyond the ``MAX_LANGUAGES`` most frequent aren't learned. Predictions read whole texts and nothing but the
+text. Of languages with equal shares the first by name is predicted.
 
-A null text, or one without a letter, gets ``und`` with score 0, and so does every text if nothing could be learned.
-Rows without ``doc_id`` are not learned from. Empty tables give no rows.
+A null text, or one without a letter (numbers in letter form are none), gets ``und`` with score 0, and so does every text if
+nothing could be learned. Rows without ``doc_id`` are not learned from. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,6 @@ SMOOTHING, PENALTY, LEAST_SHARE, ROUNDS = 0.2, 3.0, 0.02, 100
 UNKNOWN = "und"
 #: The filter of the pipeline keeps documents whose main language has at least this share.
 KEEP_SHARE = 0.25
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -125,9 +124,11 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def _predict(text: str | None, languages: list[str], logp: np.ndarray) -> tuple[str, float, str]:
-    if text is None or not languages or not _LETTER.search(text):
+    if text is None or not languages or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, ""
     at, n = trigrams(text)
+    if not len(at):
+        return UNKNOWN, 0.0, ""
     shares = sorted(((languages[k], s) for k, s in mixture(at, n, logp).items()), key=lambda x: (-x[1], x[0]))
     return shares[0][0], min(1.0, shares[0][1]), ",".join(f"{k}:{s:.2f}" for k, s in shares)
 
