@@ -40,6 +40,8 @@ PATTERNS = (
 HINTS = {"assign": r"(?i)password|passwd|secret|token|api_?key", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
 
 LEAST, LONGEST, RATE, VETO = 20, 512, 0.01, 0.001
+#: Matches that are placed together.
+GROUP = 128
 CANDIDATE = r"[A-Za-z0-9+/_-]+={0,2}"
 #: What a run that no alphabet holds is split into.
 PARTS = (r"[A-Za-z0-9+/]+={0,2}", r"[A-Za-z0-9_-]+={0,2}")
@@ -69,7 +71,8 @@ def matches(text: Column, pattern: str, group: int, least: int) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("spans"))
+    spans = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    length = lambda m: F.length(m["gap"]) + F.length(m["hit"])
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + F.length(m["gap"])
@@ -77,11 +80,22 @@ def matches(text: Column, pattern: str, group: int, least: int) -> Column:
         kept = F.when(F.length(m["counted"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct((start + F.length(m["hit"])).alias("at"), kept.alias("spans"))
 
+    # appending copies an array, so matches are placed in groups: first where each group begins, then within it
+    def placed(groups: Column) -> Column:
+        begins = F.aggregate(
+            groups, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")),
+            lambda acc, g: F.struct(F.aggregate(g, acc["at"], lambda n, m: n + length(m)).alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins")),
+        )["begins"]
+        inner = lambda g, at: F.aggregate(g, F.struct(at.alias("at"), spans.alias("spans")), step)["spans"]
+        return let(begins, lambda b: F.flatten(F.transform(groups, lambda g, i: inner(g, b[i]))))
+
+    def grouped(items: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(items), F.lit(GROUP)), lambda k: F.slice(items, k, GROUP))
+
+    items = lambda x: F.transform(x["hits"], lambda h, i: F.struct(x["gaps"][i].alias("gap"), h.alias("hit"), x["counted"][i].alias("counted")))
     return let(
         F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("hits"), counted.alias("counted")),
-        lambda x: F.aggregate(
-            F.transform(x["hits"], lambda h, i: F.struct(x["gaps"][i].alias("gap"), h.alias("hit"), x["counted"][i].alias("counted"))), zero, step
-        )["spans"],
+        lambda x: F.when(F.size(x["hits"]) == 0, spans).otherwise(let(items(x), lambda y: let(grouped(y), placed))),
     )
 
 
