@@ -1,17 +1,20 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's rows are collected as structs and sorted by turn, then role, then text; a null text or role is empty.
-Adjacent turns of one role become one block, in which a mark keeps the turns apart, so that the output still holds
-each of them. All marks start with ``<|``. Inside roles and texts a backslash is put after the first character of
+A conversation's rows are sorted by turn, then role, then text, and collected as structs that are joined; a null text or role
+is empty. Adjacent turns of one role become one block, in which a mark keeps the turns apart, so that the output still
+holds each of them. All marks start with ``<|``. Inside roles and texts a backslash is put after the first character of
 whatever could be taken for a mark of this or another common template; where backslashes stand there already, one more
 joins them, so taking one away again restores the text exactly.
 
-Rows with a null ``conv_id`` form one conversation. An empty table gives no rows.
+Marks stand between turns by what is before them, so a conversation is written turn by turn: a window tells each turn
+whether its role is that of the turn before and how many characters come before it, and time grows with the turns.
+
+Each row with a null ``conv_id`` is a conversation of its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let
@@ -20,6 +23,8 @@ TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 #: What may not stand in a text unescaped, without its first character. Fixed values.
 _TAILS = r"(?=\||/?s>|/?INST\]|</?SYS>>)"
 LOSS_ROLE = "assistant"
+#: Spans that are cut out of a text one by one; more are cut out of the list of its characters.
+MANY = 64
 
 
 def escape(text: Column) -> Column:
@@ -32,41 +37,23 @@ def unescape(text: Column) -> Column:
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans (start and end in code points of ``formatted``, one for each assistant text)."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    sorted_turns = F.array_sort(F.collect_list(turn))
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    block = lambda role, texts: F.struct(role.alias("role"), texts.alias("texts"))
-
-    def merge(blocks: Column, t: Column) -> Column:
-        last = F.get(blocks, F.size(blocks) - 1)
-        alone = F.concat(blocks, F.array(block(escape(t["role"]), F.array(escape(t["text"])))))
-        joined = F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(block(last["role"], F.concat(last["texts"], F.array(escape(t["text"]))))))
-        return F.when((F.size(blocks) > 0) & (last["role"] == escape(t["role"])), joined).otherwise(alone)
-
-    blocks = F.aggregate("turns", empty, merge)
-    written = F.transform("blocks", lambda b: F.concat(F.lit(TURN), b["role"], F.lit(TEXT), F.array_join(b["texts"], NEXT), F.lit(END + "\n")))
-
-    # the mask: a running offset over blocks, and over the texts of a block
-    long = lambda n: F.lit(n).cast("long")
-    start = F.struct(long(0).alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def within(acc: Column, text: Column) -> Column:
-        end = acc["at"] + F.length(text)
-        return F.struct((end + len(NEXT)).alias("at"), F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).alias("spans"))
-
-    def over(acc: Column, b: Column) -> Column:
-        head = acc["at"] + len(TURN) + F.length(b["role"]) + len(TEXT)
-        none = acc["spans"]
-        inner = F.aggregate(b["texts"], F.struct(head.alias("at"), none.alias("spans")), within)
-        return let(
-            inner,
-            lambda x: F.struct((x["at"] - len(NEXT) + len(END) + 1).alias("at"), F.when(b["role"] == LOSS_ROLE, x["spans"]).otherwise(none).alias("spans")),
-        )
-
+    role, text = (escape(F.coalesce(c, F.lit(""))).alias(c) for c in ("role", "text"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    sorting = [F.coalesce(c, F.lit("")).alias(f"{c}_as_is") for c in ("role", "text")]
+    written = rows.select("conv_id", alone, "turn", *sorting, role, text)
+    order = Window.partitionBy("conv_id", "alone").orderBy("turn", "role_as_is", "text_as_is")
+    same = F.lag("role").over(order) == F.col("role")
+    ends = F.when(F.lag("role").over(order).isNotNull(), F.lit(END + "\n")).otherwise(F.lit(""))
+    before = F.when(same, F.lit(NEXT)).otherwise(F.concat(ends, F.lit(TURN), F.col("role"), F.lit(TEXT)))
+    pieces = written.select("conv_id", "alone", "role", "text", before.alias("before"), F.row_number().over(order).alias("place"), *(F.col(c) for c in ("turn", "role_as_is", "text_as_is")))
+    upto = F.sum(F.length("before") + F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    turns = pieces.select("conv_id", "alone", F.struct("place", F.concat("before", "text").alias("piece"), F.col("role"), upto.alias("end"), F.length("text").alias("n")).alias("turn"))
     return (
-        rows.groupBy("conv_id").agg(sorted_turns.alias("turns"))
-        .select("conv_id", blocks.alias("blocks"))
-        .select("conv_id", F.array_join(written, "").alias("formatted"), F.aggregate("blocks", start, over)["spans"].alias("loss_spans"))
+        turns.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+        .select(
+            "conv_id", F.concat(F.array_join("turns.piece", ""), F.lit(END + "\n")).alias("formatted"),
+            F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: F.struct((t["end"] - t["n"]).alias("start"), t["end"].alias("end"))).alias("loss_spans"),
+        )
     )
 
 
@@ -84,8 +71,11 @@ def read_back(formatted: Column) -> Column:
 
 def masked_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped and joined."""
-    cut = F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return F.array_join(cut, "")
+    place = lambda s: ((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    few = F.transform(spans, lambda s: unescape(F.substring(formatted, *place(s))))
+    # a substring is counted off from the start of the text, a slice isn't
+    many = let(F.split(formatted, ""), lambda chars: F.transform(spans, lambda s: unescape(F.array_join(F.slice(chars, *place(s)), ""))))
+    return F.array_join(F.when(F.size(spans) <= MANY, few).otherwise(many), "")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
