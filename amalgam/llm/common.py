@@ -35,4 +35,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-__all__ = ["SPACE", "WORD", "arrow_rows", "discard", "documents", "let", "materialize", "release", "scratch", "shared_dir", "text_or_empty"]
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows from literals, without Python on the executors."""
+    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    struct = lambda row: F.struct(*(F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)))
+    some = rows or [(None,) * len(fields)]
+    out = spark.range(0, 1, 1, 1).select(F.inline(F.array(*map(struct, some))))
+    return out if rows else out.filter(F.lit(False))
+
+
+__all__ = ["SPACE", "WORD", "arrow_rows", "discard", "documents", "let", "literal_rows", "materialize", "release", "scratch", "shared_dir", "text_or_empty"]

@@ -15,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import literal_rows
+
 DEFAULT = "allow"
-#: Hex digits of the digest in the join key, and up to how many rules are broadcast; more are joined by a shuffle.
-SHORT, BROADCAST_RULES = 8, 100_000
+#: Hex digits of the digest in the join key, and up to how many rules of how many characters are broadcast; more are joined by a
+#: shuffle.
+SHORT, BROADCAST_RULES, BROADCAST_CHARS = 8, 100_000, 1 << 23
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -36,7 +39,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of each row. ``rules``: (verdict, host, path) as a list or a DataFrame."""
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+        rules = literal_rows(spark, [tuple(r) for r in rules], "verdict string, host string, path string")
     rules = rules.select(
         F.struct(
             (F.length("host") + F.length("path")).alias("length"), F.length("host").alias("host_length"),
@@ -44,10 +47,10 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         ).alias("__rule"),
         _digest(F.col("host"), F.col("path")).alias("__full"), "host", "path",
     )
-    about = rules.agg(F.max(F.size(F.split("host", r"\."))), F.collect_set(F.length("path")), F.count(F.lit(1))).first()
-    labels, lengths, n = about[0] or 0, sorted(about[1]), about[2]
+    about = rules.agg(F.max(F.size(F.split("host", r"\."))), F.collect_set(F.length("path")), F.count(F.lit(1)), F.sum(F.length("host") + F.length("path"))).first()
+    labels, lengths, n, chars = about[0] or 0, sorted(about[1]), about[2], about[3] or 0
     keyed = rules.select("__rule", "__full", F.substring("__full", 1, SHORT).alias("__short"))
-    keyed = F.broadcast(keyed) if n <= BROADCAST_RULES else keyed
+    keyed = F.broadcast(keyed) if n <= BROADCAST_RULES and chars <= BROADCAST_CHARS else keyed
 
     host, path = host_and_path(F.col("url"))
     parts = F.split("host", r"\.")

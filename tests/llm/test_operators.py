@@ -41,6 +41,37 @@ def test_mixtures_and_no_language(spark, sample):
     assert langid._predict(None, *model) == ("und", 0.0, "") == langid._predict("12 -- ?", *model) == langid._predict("abc", [], model[1][:, :0])
 
 
+@pytest.mark.parametrize("text", ["½", "² ①", "Ⅷ 12", "🙂", "_", "٣"])
+def test_no_letter_no_language(spark, text):
+    model = (["a", "b"], np.log(np.full((langid.BUCKETS, 2), 1 / langid.BUCKETS)))
+    assert langid._predict(text, *model) == ("und", 0.0, "") and langid._predict(text + " é", *model)[0] == "a"
+
+
+def brute_mixture(text, languages, logp, steps=4000):
+    """The shares that maximise the likelihood, by exponentiated gradient from the middle."""
+    at, n = langid.trigrams(text)
+    p = np.exp(logp[at])
+    share = np.full(len(languages), 1 / len(languages))
+    for _ in range(steps):
+        share = share * np.exp(0.5 * ((n / (p @ share)) @ p / n.sum() - 1))
+        share /= share.sum()
+    return share
+
+
+def test_predictions_are_the_most_likely_mixtures(spark, sample):
+    """Of whole documents, against another maximiser; where it is clear, as the penalty takes small shares away."""
+    model = langid.fit(common.documents(spark, "/root/testdata/sf0.01"))
+    clear = 0
+    for r in [*sample.values()][:200]:
+        if not any(map(str.isalpha, r["text"] or "")):
+            continue
+        share = brute_mixture(r["text"], *model, 400)
+        if np.sort(share)[-1] > 0.6:
+            clear += 1
+            assert langid._predict(r["text"], *model)[0] == model[0][int(share.argmax())]
+    assert clear > 150
+
+
 def test_em_finds_the_best_shares():
     rng = np.random.default_rng(0)
     p = rng.dirichlet(np.ones(50), 3).T
@@ -349,6 +380,25 @@ def test_conversations_round_trip(spark):
     assert plain.count("<|turn|>") == sum(i == 0 or want[0][i][0] != want[0][i - 1][0] for i in range(len(want[0])))
 
 
+def test_very_long_conversation(spark):
+    n = 6000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é𝄞 <|end|> "), F.col("id").cast("string")).alias("text"))
+    df = df.unionByName(df.filter("turn < 30").withColumn("conv_id", F.lit(2)))
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(df)).collect()}
+    for conv, m in ((1, n), (2, 30)):
+        turns = [("assistant" if i % 3 else "user", f"é𝄞 <|end|> {i}") for i in range(m)]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert (got[conv]["n_turns"], got[conv]["loss_chars"]) == (m, len(loss))
+        assert got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("name", ["op6_chat_format", "op10_url_filter"])
+def test_no_python_in_native_plans(spark, name):
+    plan = queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|ExternalRDD|Scan ExistingRDD|LogicalRDD", plan)
+
+
 # decontamination
 
 
@@ -575,6 +625,19 @@ def test_base_spans(spark):
         assert got[i]["base_sha256"] == hashlib.sha256(brute_spans(t).encode()).hexdigest(), (t, brute_spans(t), got[i]["spans"])
 
 
+def test_base_spans_of_documents(spark, sample):
+    got = {r["doc_id"]: r for r in queries.op9_secret_scan(spark, "/root/testdata/sf0.01").collect()}
+    for i, r in sample.items():
+        want = brute_spans(r["text"])
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [want.count(f"{k}:") for k in ("assign", "access", "hex")]
+
+
+def test_very_many_matches(spark):
+    text = " ".join(f"token={'ab' * 5}{i} é" for i in range(9000))
+    r = secret_scan.digest(secret_scan.scan(spark.createDataFrame([(1, text, None, None)], DOCS))).first()
+    assert r["n_assign"] == 9000 and r["base_sha256"] == hashlib.sha256(brute_spans(text).encode()).hexdigest()
+
+
 def test_random_strings_among_words(spark):
     rng = random.Random(5)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

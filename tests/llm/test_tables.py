@@ -87,6 +87,9 @@ def test_pages_and_conversations(spark):
     assert html_text.extract(p.filter("false")).count() == 0 == url_filter.judge(p.filter("false")).count()
     conv = "conv_id long, turn long, role string, text string"
     c = spark.createDataFrame([(1, 1, "user", "b"), (1, 0, "user", None), (1, 0, None, "x"), (None, None, None, None), (2, 0, "assistant", ""), (2, 0, "assistant", "")], conv)
+    c = c.unionByName(c.filter("conv_id IS NULL"))
+    alone = [r for r in chat.digests(chat.format_conversations(clashing(c))).collect() if r["conv_id"] is None]
+    assert [r["n_turns"] for r in alone] == [1, 1]
     got = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(clashing(c))).collect()}
     assert {k: r["n_turns"] for k, r in got.items()} == {1: 3, 2: 2, None: 1} and got[2]["loss_chars"] == 0
     assert chat.format_conversations(c.filter("false")).count() == 0
