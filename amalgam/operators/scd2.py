@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TECHNICAL = ("modified_at",)
+OPERATIONS = ("insert", "update", "update_before", "delete")
 
 
 def row_hash(columns: list[str], technical: tuple[str, ...] = TECHNICAL) -> Column:
@@ -24,8 +25,11 @@ def versions(changes: DataFrame, keys: list[str], columns: list[str], stored: Da
     """keys, columns, hash, op, lsn, seqval, valid_from, valid_to, closed_lsn, closed_seqval: with ``stored`` (the same
     columns), the whole next history. The place that closed a version is kept, so that replayed changes before it open nothing.
 
-    ``changes``: keys, columns, op, lsn, seqval, commit_time.
+    ``changes``: keys, columns, op, lsn, seqval, commit_time. An operation that is none of ``OPERATIONS``, or null, fails the
+    query: a change that can't be read must not be lost.
     """
+    known = F.when(F.col("op").isin(*OPERATIONS), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown operation in the change log: "), F.coalesce("op", F.lit("null")))))
+    changes = changes.withColumn("op", known)
     out = [*keys, *columns, "hash", "op", "lsn", "seqval", "valid_from", "valid_to", "closed_lsn", "closed_seqval"]
     time = dict(changes.dtypes)["commit_time"]
     place, closed = F.struct("lsn", "seqval"), F.struct(F.col("closed_lsn").alias("lsn"), F.col("closed_seqval").alias("seqval"))

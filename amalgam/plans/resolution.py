@@ -50,7 +50,7 @@ WITH ids AS (
   UNION ALL SELECT 'gdelt:' || p_partkey, 'gdelt', true, 'cik:' || p_partkey, NULL FROM part)"""
 
 
-@query("J22", IDS + ", f AS (SELECT id, min(key) AS key_a FROM ids GROUP BY 1) SELECT DISTINCT key_a, key AS key_b FROM ids JOIN f USING (id) WHERE key <> key_a")
+@query("J22", IDS + " SELECT DISTINCT a.key AS key_a, b.key AS key_b FROM ids a JOIN ids b ON a.id = b.id AND a.key < b.key")
 def shared_id_pairs(t):
     return P.identifier_pairs(universe(t))
 

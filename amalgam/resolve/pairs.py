@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..expressions import literal_map, overlaps
 from ..functions.similarity import name_similarity
-from .records import HINT_SOURCES, REGISTER, without_hot
+from .records import HINT_SOURCES, REGISTER, firm_ciks, firm_leis, without_hot
 
 # Points of the signals. Fixed values.
 WEIGHTS = {
@@ -17,6 +17,8 @@ WEIGHTS = {
 NAME_FLOOR, ACCEPT, REVIEW = 70, 70, 50
 #: A word in more records makes no block, and a block of more records makes no pairs: both say nothing of identity.
 TOKEN_DF, BLOCK_SIZE = 25, 200
+#: Records of one identifier that are paired each with each.
+SHARED = 200
 
 
 def block_keys() -> Column:
@@ -56,16 +58,26 @@ def block_report(prepared: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame
     return blocks(prepared)[1].agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("size") > block_size).alias("too_large"))
 
 
-def identifier_pairs(records: DataFrame) -> DataFrame:
-    """key_a < key_b of records that share an identifier, whatever blocks they are in.
+def identifier_pairs(records: DataFrame, most: int = SHARED) -> DataFrame:
+    """key_a < key_b of all records that share an identifier, whatever blocks they are in, and of whatever source.
 
-    The records of one identifier are linked to the first of them, of those whose source isn't only a hint if there are any:
-    together these links join what all pairs would.
+    An identifier of more than ``most`` records, which no register issues, would give their square. Its records are linked to
+    the first of them, of those whose source isn't only a hint if there are any, and to the first of each set of firm
+    identifiers among them: these links join what all pairs would, and hold a pair for each two sets that contradict each
+    other, of which the review is made.
     """
     ids = F.concat(F.transform("leis", lambda x: F.concat(F.lit("lei:"), x)), F.transform("ciks", lambda x: F.concat(F.lit("cik:"), x.cast("string"))))
-    held = records.select(F.explode(F.array_distinct(ids)).alias("id"), "key", F.col("source").isin(*HINT_SOURCES).alias("hint"))
-    first = held.groupBy("id").agg(F.min(F.struct("hint", "key"))["key"].alias("first"))
-    return held.join(first, "id").filter("first <> key").select(F.least("first", "key").alias("key_a"), F.greatest("first", "key").alias("key_b")).distinct()
+    firm = F.to_json(F.struct(firm_leis().alias("leis"), firm_ciks().alias("ciks")))
+    held = records.select(F.explode(F.array_distinct(ids)).alias("id"), "key", F.struct(F.col("source").isin(*HINT_SOURCES).alias("hint"), "key").alias("place"), firm.alias("firm"))
+    sizes = held.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("place")["key"].alias("first"))
+    few = held.join(sizes.filter(F.col("n").between(2, most)).select("id"), "id")
+    met = few.alias("a").join(few.alias("b"), (F.col("a.id") == F.col("b.id")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
+    many = held.join(sizes.filter(F.col("n") > most).select("id", "first"), "id")
+    star = many.filter("first <> key").select(F.least("first", "key").alias("key_a"), F.greatest("first", "key").alias("key_b"))
+    kinds = many.groupBy("id", "firm").agg(F.min("place")["key"].alias("head"))
+    told = many.join(kinds, ["id", "firm"]).filter("head <> key").select(F.least("head", "key").alias("key_a"), F.greatest("head", "key").alias("key_b"))
+    heads = kinds.alias("a").join(kinds.alias("b"), (F.col("a.id") == F.col("b.id")) & (F.col("a.head") < F.col("b.head"))).select(F.col("a.head").alias("key_a"), F.col("b.head").alias("key_b"))
+    return met.unionByName(star).unionByName(told).unionByName(heads).distinct()
 
 
 def _sides(pairs: DataFrame, prepared: DataFrame) -> DataFrame:

@@ -67,3 +67,10 @@ def test_null_differs_from_empty_text(spark):
     assert scd2.versions(frame(spark, log), ["k"], ["v", "modified_at"]).count() == 2
     assert scd2.versions(frame(spark, []), ["k"], ["v", "modified_at"]).count() == 0
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+@pytest.mark.parametrize("op", ["merge", "", None])
+def test_an_unknown_operation_fails(spark, op):
+    df = spark.createDataFrame([(1, "a", "insert", "01", 1, 1), (1, "b", op, "02", 1, 2)], "k int, v string, op string, lsn string, seqval int, commit_time int")
+    with pytest.raises(Exception, match="unknown operation"):
+        scd2.versions(df, ["k"], ["v"]).collect()
