@@ -82,7 +82,7 @@ def scalar_subqueries(t):
                (SELECT count(*) FROM __orders WHERE o_custkey = c_custkey) AS orders FROM __customer""")
 
 
-@query("J12 J13 P05 G13 G14", """
+@query("J12 J13 P05", """
 WITH p AS (SELECT DISTINCT a.l_suppkey AS sa, b.l_suppkey AS sb FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey AND a.l_linenumber = 1 AND b.l_linenumber = 2)
 SELECT sa, sb, x.s_name AS name_a, y.s_name AS name_b, nx.n_name AS nation_a, ny.n_name AS nation_b FROM p JOIN supplier x ON sa = x.s_suppkey JOIN supplier y ON sb = y.s_suppkey
 JOIN nation nx ON x.s_nationkey = nx.n_nationkey JOIN nation ny ON y.s_nationkey = ny.n_nationkey""")
@@ -122,7 +122,7 @@ def risk_mart(t):
     return joined.select("c_custkey", F.col("n_name").alias("nation"), F.array_join("s", ", ").alias("statuses"), F.when(F.col("urgent") > 3, "alert").otherwise("watch").alias("level"), F.coalesce(F.array_contains("s", "F"), F.lit(False)).alias("by_id"))
 
 
-@query("P01 P08 F14 G09 G12 G15 G16 G17 G20 G22 G35", """
+@query("P01 P08 F14", """
 SELECT concat(c_name, ' · ', c_custkey) AS label, CASE WHEN c_acctbal < 0 THEN 'debtor' ELSE 'creditor' END AS role, r_name AS region, format('{:,.3f}', c_acctbal) AS balance
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' ORDER BY c_acctbal DESC, label""")
 def region_card(t):

@@ -65,7 +65,7 @@ def changed_flags(t):
     return joined.filter(was != now).select("c_custkey", now.alias("in_universe"))
 
 
-@query("W03 G33", """
+@query("W03", """
 SELECT c_mktsegment, o_orderkey, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey
 QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderdate DESC, o_orderkey) = 1""")
 def latest_batch_per_source(t):

@@ -151,7 +151,7 @@ def batch_classify(t):
     return classify(files, t.spark.createDataFrame([], "sha256 string, path string")).select("doc_id", "state")
 
 
-@query("P02 P03 K07 A11 G27", """
+@query("P02 P03 K07 A11", """
 WITH r AS (SELECT *, CASE WHEN try_cast(json_extract_string(props, '$.k') AS INT) IS NULL THEN 'invalid JSON' WHEN value < 1 THEN 'value too low' WHEN value > 200 THEN 'value too high' END AS reason FROM events)
 SELECT coalesce(reason, 'valid') AS reason, event_type, count(*) AS n FROM r GROUP BY ALL""")
 def quarantine_reasons(t):
@@ -181,14 +181,14 @@ def _checked(t: Tables):
     ])
 
 
-@query("Q01 Q02 Q03 Q04 Q05 Q06 Q07 Q08 Q09", f"""
+@query("Q02 Q03 Q04 Q05 Q06 Q07 Q08 Q09", f"""
 WITH c AS ({CHECKS})
 SELECT *, CASE WHEN failed IS NULL THEN 'not evaluated' WHEN failed = 0 THEN 'pass' WHEN critical THEN 'fail' ELSE 'warn' END AS outcome FROM c""")
 def contract_checks(t):
     return _checked(t)
 
 
-@query("Q10 G26", f"""
+@query("Q10", f"""
 WITH c AS ({CHECKS}), o AS (SELECT *, failed IS NULL OR failed > 0 AS bad FROM c)
 SELECT CASE WHEN count_if(bad AND critical) > 0 THEN 'quarantined' ELSE 'approved' END AS state, list_sort(list("check") FILTER (WHERE bad AND critical)) AS critical_failures,
        list_sort(list("check") FILTER (WHERE bad AND NOT critical)) AS warnings FROM o""")
@@ -220,7 +220,7 @@ _QUALITY = """SELECT {group} count_if(p AND a)::BIGINT AS tp, count_if(p AND NOT
   (SELECT lang, n_chars {op} AS p, quality = 1 AS a FROM labels JOIN documents USING (doc_id)) {by}"""
 
 
-@query("A17 A18 G32", f"""
+@query("A17 A18", f"""
 WITH c AS ({_QUALITY.format(group='lang,', op='>= 500', by='GROUP BY lang')}), r AS (SELECT *, tp::DOUBLE/nullif(tp+fp,0) AS precision, tp::DOUBLE/nullif(tp+fn,0) AS recall FROM c)
 SELECT lang, tp AS true_positive, fp AS false_positive, fn AS false_negative, round(precision, 9) AS precision, round(recall, 9) AS recall, round(2.0*tp/nullif(2*tp+fp+fn,0), 9) AS f1,
   CASE WHEN tp+fp=0 THEN 0 ELSE {_bounds('precision', '(tp+fp)')[0]} END AS precision_low, CASE WHEN tp+fp=0 THEN 1 ELSE {_bounds('precision', '(tp+fp)')[1]} END AS precision_high,

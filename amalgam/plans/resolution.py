@@ -168,7 +168,7 @@ def integrity_invariants(t):
     return E.integrity(run["prepared"], run["membership"], run["golden"], run["decided"], run["review"])
 
 
-@query("A14 A15 A16", """
+@query("A14 A15", """
 WITH r AS (SELECT 'customer' AS source, c_nationkey * 100 + floor(c_acctbal / 500)::INT AS grp, 'customer:' || c_custkey AS key, CASE WHEN c_acctbal > 0 THEN c_name END AS name, c_mktsegment AS segment FROM customer
            UNION ALL SELECT 'supplier', s_nationkey * 100 + floor(s_acctbal / 500)::INT, 'supplier:' || s_suppkey, s_name, NULL FROM supplier)
 SELECT grp, arg_min(name, ((source = 'customer')::INT, key)) FILTER (WHERE name IS NOT NULL) AS name, arg_min(key, ((source = 'customer')::INT, key)) FILTER (WHERE name IS NOT NULL) AS name_from,

@@ -87,7 +87,7 @@ def alias_regex_join(t):
     return found.groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("lines"), F.size(F.collect_set(F.lower("line"))).alias("forms"))
 
 
-@query("A13 A21 O02 G39 G40", r"""
+@query("A13 A21 O02", r"""
 WITH w AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM documents)
 SELECT word, count(*) AS docs, count(DISTINCT source) AS sources FROM w GROUP BY 1 ORDER BY docs DESC, word LIMIT 400""")
 def org_counts(t):
