@@ -100,12 +100,10 @@ def test_identifiers(spark):
 
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(("http", "https", "ftp")), st.booleans(), st.lists(st.text("abyz", min_size=1, max_size=5), min_size=2, max_size=4), st.sampled_from(("", "/", "/p/q", "?a=b", "#f", ":8080/x"))), min_size=1, max_size=8))
-def test_hosts_by_their_parts(parts):
+def test_hosts_by_their_parts(spark, parts):
     """The host of a URL that is put together from its parts."""
-    from pyspark.sql import SparkSession
-
     urls = [f" {scheme}://{'WWW.' * www}{'.'.join(labels).title()}{rest}" for scheme, www, labels, rest in parts]
-    assert column(SparkSession.active(), urls, url_host) == [".".join(labels) for _, _, labels, _ in parts]
+    assert column(spark, urls, url_host) == [".".join(labels) for _, _, labels, _ in parts]
 
 
 def test_no_host(spark):
