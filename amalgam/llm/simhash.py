@@ -184,15 +184,15 @@ def _edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"fp": np.maximum(a, b), "lower": np.minimum(a, b)})
 
 
-def sorted_runs(batches, columns: int):
-    """Of batches whose first column is a sorted key, stretches of whole runs: arrays of the columns, each as 64-bit words. A
-    run is held whole."""
+def sorted_runs(batches, columns: int, step: int = STEP):
+    """Of batches whose first column is a sorted key, stretches of whole runs of ``step`` rows or more: arrays of the columns,
+    each as 64-bit words. A run is held whole."""
     held: list[list[np.ndarray]] = []
     n = 0
     for batch in batches:
         held.append([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in range(columns)])
         n += batch.num_rows
-        if n >= STEP:
+        if n >= step:
             flat = [np.concatenate(c) for c in zip(*held)]
             last = int(np.searchsorted(flat[0].view(np.int64), flat[0].view(np.int64)[-1], side="left"))
             if last:
