@@ -128,17 +128,44 @@ def plan_mix(docs: DataFrame) -> DataFrame:
     return _placed(materialize(sizes, "sizes")).drop("row")
 
 
-def curriculum(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame, row: str | None) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``__row``, and their sizes: row, doc_id, source, size."""
+    if row is None:
+        rows = materialize(docs.withColumns({"__row": F.monotonically_increasing_id(), "__size": word_count()}), "rows")
+        return rows, rows.select(F.col("__row").alias("row"), "doc_id", "source", F.col("__size").alias("size"))
+    rows = docs.withColumn("__row", F.col(row))
+    return rows, materialize(rows.select(F.col("__row").alias("row"), "doc_id", "source", word_count().alias("size")), "sizes")
+
+
+def _mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """A row per copy: the columns of ``rows`` and ``__use`` (epoch, take_words, position), range-sorted by position."""
+    uses = F.array(*(F.struct(F.lit(k).alias("epoch"), F.col(f"take_{k}").alias("take_words"), F.col(f"position_{k}").alias("position")) for k in (1, 2)))
+    copies = plan.select(F.col("row").alias("__row"), F.explode(F.filter(uses, lambda u: u["take_words"] > 0)).alias("__use"))
+    return rows.join(copies, "__row").orderBy("__use.position", "__row", "__use.epoch")
+
+
+def curriculum(docs: DataFrame, row: str | None = None) -> DataFrame:
     """The mix itself: a row per copy with the columns of ``docs``, epoch, take_words and position, range-sorted by
     position. The first ``take_words`` words of a copy are its part of the mix.
 
     Rows are placed each on its own, whatever ids they have or share. A column of ``docs`` with the name of an added one
-    stays; the added one's name then ends in an underscore.
+    stays; the added one's name then ends in an underscore. ``row``: a column that tells all rows apart and is the same
+    whenever they are read, as their place in a file is; without one the rows are written once with a number.
     """
-    rows = materialize(docs.withColumns({"__row": F.monotonically_increasing_id(), "__size": word_count()}), "rows")
-    plan = _placed(rows.select(F.col("__row").alias("row"), "doc_id", "source", F.col("__size").alias("size")))
-    uses = F.array(*(F.struct(F.lit(k).alias("epoch"), F.col(f"take_{k}").alias("take_words"), F.col(f"position_{k}").alias("position")) for k in (1, 2)))
-    copies = plan.select(F.col("row").alias("__row"), F.explode(F.filter(uses, lambda u: u["take_words"] > 0)).alias("__use"))
+    rows, sizes = _numbered(docs, row)
+    mixed = _mixed(rows, _placed(sizes))
     name = lambda c: c if c not in docs.columns else name(c + "_")
-    mixed = rows.join(copies, "__row").orderBy("__use.position", "__row", "__use.epoch")
     return mixed.select(*docs.columns, *(F.col(f"__use.{c}").alias(name(c)) for c in ("epoch", "take_words", "position")))
+
+
+def digest(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """A row per row of ``docs``: doc_id, size, source_size, target, and what the mix of ``curriculum`` holds of it, read from
+    the sorted copies and their texts: taken, position_1, position_2 (null if it isn't used). ``row`` as there."""
+    rows, sizes = _numbered(docs, row)
+    plan = materialize(_placed(sizes), "plan")
+    words = F.least(F.col("__use.take_words"), word_count()).alias("words")
+    order = materialize(_mixed(rows, plan).select(F.col("__row").alias("row"), "__use.epoch", words, "__use.position"), "order")
+    at = lambda k: F.max(F.when(F.col("epoch") == k, F.col("position"))).alias(f"position_{k}")
+    used = order.groupBy("row").agg(F.sum("words").alias("taken"), at(1), at(2))
+    taken = F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
+    return plan.select("row", "doc_id", "size", "source_size", "target").join(used, "row", "left").select("doc_id", "size", "source_size", "target", taken, "position_1", "position_2")

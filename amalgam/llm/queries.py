@@ -25,8 +25,9 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    position = lambda k: F.round(f"position_{k}", 6).alias(f"position_{k}")
-    return mixing.plan_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", position(1), position(2))
+    row = F.concat_ws(":", F.md5("_metadata.file_path"), "_metadata.row_index").alias("row")
+    mix = mixing.digest(documents(spark, sf_dir).select("doc_id", "source", "text", row), "row")
+    return mix.withColumns({f"position_{k}": F.round(f"position_{k}", 6) for k in (1, 2)})
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,46 @@ def test_training_time_inverts_the_integral(spark, kind):
     assert np.allclose(np.interp(at, grid, demand / demand[-1]), used, atol=1e-6)
 
 
+def test_op4_is_read_from_the_sorted_copies(spark, monkeypatch):
+    """The query's rows come from the range-sorted copies: they are written in training order, and what the mix lacks is not taken."""
+    written, whole = {}, mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, label, **options: written.setdefault(label, whole(df, label, **options)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["doc_id"]: r for r in queries.op4_mix_sources(spark, "/root/testdata/sf0.001").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts: dict = {}
+    for r in written["order"].select("*", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).collect():
+        parts.setdefault(r["f"], []).append((r["i"], r["position"], r["words"]))
+    places = [at for f in sorted(parts) for _, at, _ in sorted(parts[f])]
+    assert len(parts) > 1 and places == sorted(places)
+    assert sum(n for p in parts.values() for *_, n in p) == sum(r["taken"] for r in got.values()) > 0
+    monkeypatch.setattr(mixing, "materialize", whole)
+    copies = mixing._mixed
+    monkeypatch.setattr(mixing, "_mixed", lambda rows, plan: copies(rows, plan).filter("__use.epoch = 1"))
+    once = {r["doc_id"]: r for r in queries.op4_mix_sources(spark, "/root/testdata/sf0.001").collect()}
+    assert once.keys() == got.keys() and all(r["position_2"] is None and r["taken"] <= r["size"] for r in once.values())
+    assert any(r["taken"] > r["size"] for r in got.values())
+
+
+def test_op4_digest_of_rows_with_any_ids(spark):
+    """Numbered by the operator or by a column: rows with null or repeated ids, without words, without a source."""
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 5, i]), rng.choice([None, " ".join(["t"] * rng.randrange(9))]), "en", rng.choice(["a", "b", None]), f"r{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS + ", r string").repartition(3)
+    for row in (None, "r"):
+        got = mixing.digest(docs, row).collect()
+        assert sorted(r["size"] for r in got) == sorted(len((t or "").split()) for _, t, *_ in rows)
+        goal = {r["source_size"]: round(r["target"]) for r in got}
+        taken: dict = {}
+        for r in got:
+            assert 0 <= r["taken"] <= 2 * r["size"] and (r["taken"] > 0) == (r["position_1"] is not None)
+            taken[r["source_size"]] = taken.get(r["source_size"], 0) + r["taken"]
+        assert len(got) == len(rows) and len(goal) == 3 and taken == goal
+    assert mixing.digest(docs.limit(0)).count() == 0
+
+
 # simhash
 
 
