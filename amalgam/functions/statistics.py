@@ -42,6 +42,19 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / F.nullif(F.sum(weight), F.lit(0))
 
 
+def steady_sum(value: Column) -> Column:
+    """Sum of doubles that is the same in whatever order the rows come: they are added as decimals of 18 places. A sum that
+    doesn't fit, or has a NaN or an infinity in it, is added as doubles."""
+    exact = value.try_cast("decimal(38,18)")
+    return F.coalesce(F.when(F.count(exact) == F.count(value), F.try_sum(exact).cast("double")), F.sum(value))
+
+
+def round_product(value: Column, digits: int) -> Column:
+    """``round`` of DuckDB: the product with the power of ten, as a double, goes to the nearest integer, halves away from zero.
+    Spark's rounds the shortest decimal of the double, so that it has 1.01 for 1.005, and DuckDB 1.0."""
+    return F.round(value * 10.0**digits) / F.lit(10.0**digits)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: rows and an order-independent checksum of all columns. The sum is a decimal: 64-bit hashes overflow a long."""
     row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})

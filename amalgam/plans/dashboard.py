@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.statistics import weighted_mean
+from ..functions.statistics import round_product, steady_sum
 from ..operators.selection import latest
 from ..storage import shared_dir
 from .registry import Tables, query
@@ -146,11 +146,13 @@ WITH {NEWS}, last AS (SELECT max(day) AS day FROM news)
 SELECT c_name AS name, sum(mentions)::BIGINT AS mentions, sum(negative)::BIGINT AS negative, round(sum(tone * mentions) / nullif(sum(mentions), 0), 2) AS tone, max(news.day) AS latest
 FROM news JOIN customer ON c_custkey = user_id, last WHERE news.day >= last.day - 7 GROUP BY c_name""")
 def recent_news(t):
-    """Of the last week of the table; a dashboard would say of today's."""
+    """Of the last week of the table; a dashboard would say of today's. Means halfway between two cents are common, as values have
+    cents: the days are added exactly, so that the cent doesn't depend on their order, and rounded as the SQL does."""
     last = t.events.agg(F.to_date(F.max("ts")).alias("last"))  # one row
     week = news(t).join(F.broadcast(last)).filter(F.col("day") >= F.date_sub("last", 7)).join(t.customer, F.col("c_custkey") == F.col("user_id"))
+    tone = steady_sum(F.col("tone") * F.col("mentions")) / F.nullif(F.sum("mentions"), F.lit(0))
     return week.groupBy(F.col("c_name").alias("name")).agg(
-        F.sum("mentions").alias("mentions"), F.sum("negative").alias("negative"), F.round(weighted_mean(F.col("tone"), F.col("mentions")), 2).alias("tone"), F.max("day").alias("latest")
+        F.sum("mentions").alias("mentions"), F.sum("negative").alias("negative"), round_product(tone, 2).alias("tone"), F.max("day").alias("latest")
     ).orderBy(F.desc("mentions"))
 
 

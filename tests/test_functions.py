@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from amalgam.functions.names import LEGAL_FORMS, STOP_WORDS, TRANSLATIONS, name_
 from amalgam.functions.phrases import Alias, mentions
 from amalgam.functions.places import BUENOS_AIRES, COUNTRY_NAMES, FILING_CODES, US_STATES, city_name, country_code, url_host
 from amalgam.functions.similarity import common_subsequence, indel_ratio, token_set_ratio
-from amalgam.functions.statistics import fingerprint, match_quality, weighted_mean, wilson_interval
+from amalgam.functions.statistics import fingerprint, match_quality, round_product, steady_sum, weighted_mean, wilson_interval
 
 def column(spark, values, of):
     """``of`` applied to each value, in order."""
@@ -151,3 +152,19 @@ def test_mentions(spark):
     texts = spark.createDataFrame([(1, "the Zorvan  Brimsk works"), (2, "quelto lake and quelto"), (3, "Quelto rises"), (4, "unquelto"), (5, None)], "id int, t string")
     rules = [Alias("Z", ("zorvan brimsk",)), Alias("Q", ("quelto",), ("quelto lake",))]
     assert sorted((r["id"], r["entity"]) for r in mentions(texts, "t", rules).collect()) == [(1, "Z"), (3, "Q")]
+
+
+@pytest.mark.parametrize("values, want", [
+    ([1e16, 1.0, -1e16], 1.0), ([0.1] * 10, 1.0), ([None, 2.5, None], 2.5), ([None], None), ([], None),
+    ([1e30, 1.0], 1e30), ([9e19] * 3, 2.7e20), ([1.0, math.inf], math.inf), ([1.0, math.nan], math.nan),
+])
+def test_steady_sum_in_any_order(spark, values, want):
+    for order in {tuple(values), tuple(reversed(values)), tuple(sorted(values, key=repr))}:
+        got = spark.createDataFrame([(v,) for v in order], "v double").coalesce(1).agg(steady_sum(F.col("v"))).first()[0]
+        assert got == want or math.isnan(want) and math.isnan(got), order
+
+
+def test_round_product_is_that_of_duckdb(spark):
+    values = [1.005, 2.675, 49.555, 8.345, 0.125, -0.125, -1.005, 1e300, 12.0, None, *(k / 1000 for k in range(5, 3000, 10))]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(round_product(F.col("v"), 2)).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 2)", [v]).fetchone()[0] for v in values]
